@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_level_bpe
+from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
+from .line_dedup import op4_line_dedup
 from .packing import op1_best_fit_packing
+from .quality import op9_quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_line_dedup": op4_line_dedup,
         "op5_byte_level_bpe": op5_byte_level_bpe,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_line_dedup": LINE_DEDUP_SQL,
+    }
