@@ -7,6 +7,8 @@ from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op4_line_dedup
 from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
+from .secrets import op8_secret_scans
+from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
@@ -14,6 +16,8 @@ def queries() -> dict:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_byte_level_bpe": op5_byte_level_bpe,
+        "op6_toxicity": op6_toxicity,
+        "op8_secret_scans": op8_secret_scans,
         "op9_quality_rules": op9_quality_rules,
     }
 
