@@ -5,7 +5,8 @@ A linear model over word features is trained in numpy from confirmed toxic texts
 negatives after their share of positives is taken out, and the estimate is kept from going below zero, where training would
 start to fit single unlabelled texts. With the logistic loss g is a log-odds, so its sigmoid is the score.
 
-Features: a word, and the first letters of a word, seen once or at least twice in the text. The words that tell positives
+Features: a word, and the first letters of a word, each at four levels: seen at all, seen twice, and seen at least once
+in 300 or in 100 words of the text, as what is chance in a long text is none in a short one. The words that tell positives
 from unlabelled texts are found by counts over the training sample. Only texts enter a score.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; repeated rows get equal scores;
@@ -35,6 +36,14 @@ def features_of(word: str) -> list[str]:
     return [f"<{word}>", *(f"<{word[:k]}" for k in range(3, min(9, len(word))))]
 
 
+LEVELS = 4
+
+
+def levels(n: int, words: int) -> tuple[int, ...]:
+    """The levels that ``n`` times in so many words reach."""
+    return tuple(k for k, reached in enumerate((n > 0, n > 1, 300 * n >= words, 100 * n >= words)) if reached)
+
+
 def held_out(doc_id: object) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
@@ -60,8 +69,8 @@ class Settings:
 
 @dataclass
 class Model:
-    index: dict[str, int] = field(default_factory=dict)  # feature -> number; weights are for once and twice
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    index: dict[str, int] = field(default_factory=dict)  # feature -> number; weights by number and level
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, LEVELS)))
     bias: float = -np.inf
 
     def scorer(self):
@@ -70,8 +79,9 @@ class Model:
         memo = Memo(lambda word: tuple(index[f] for f in features_of(word) if f in index))
 
         def score(text: str) -> float:
-            counts = Counter(k for word in _WORDS(text.lower()) for k in memo[word])
-            g = self.bias + sum(self.weights[k, 0] + (self.weights[k, 1] if n > 1 else 0.0) for k, n in counts.items())
+            words = _WORDS(text.lower())
+            counts = Counter(k for word in words for k in memo[word])
+            g = self.bias + sum(self.weights[k, j] for k, n in counts.items() for j in levels(n, len(words)))
             return float(1 / (1 + np.exp(-g))) if g > -700 else 0.0
 
         return score
@@ -117,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
 
     def words():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bags = [" ".join(w for w, n in Counter(_WORDS(t.lower())).items() for _ in range(min(n, 2))) for t in batch.column(1).to_pylist()]
+            bags = [" ".join(_WORDS(t.lower())) for t in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.string())], names=["y", "bag"])
 
         return work
@@ -147,13 +157,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         for batch in batches:
             out = []
             for bag in batch.column(1).to_pylist():
-                counts = Counter(index[f] for w in bag.split() for f in features_of(w) if f in index)
-                out.append([2 * k + j for k, n in counts.items() for j in range(min(n, 2))])
+                words = bag.split()
+                counts = Counter(index[f] for w in words for f in features_of(w) if f in index)
+                out.append([LEVELS * k + j for k, n in counts.items() for j in levels(n, len(words))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "on"])
 
     rows = bags.mapInArrow(numbers, "y int, on array<int>").collect()  # bounded by the sample
-    theta, bias = train_nnpu([r.on for r in rows if r.y], [r.on for r in rows if not r.y], 2 * len(index), prior, settings)
-    return Model(index, theta.reshape(-1, 2), bias)
+    theta, bias = train_nnpu([r.on for r in rows if r.y], [r.on for r in rows if not r.y], LEVELS * len(index), prior, settings)
+    return Model(index, theta.reshape(-1, LEVELS), bias)
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
