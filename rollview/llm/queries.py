@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_byte_level_bpe
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op4_line_dedup
+from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
 from .secrets import op8_secret_scans
@@ -14,6 +15,7 @@ from .toxicity import op6_toxicity
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_near_dedup": op2_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op5_byte_level_bpe": op5_byte_level_bpe,
         "op6_toxicity": op6_toxicity,
