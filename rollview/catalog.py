@@ -1,9 +1,396 @@
-"""Query catalogue of the incremental engine."""
+"""Query catalogue of the incremental engine over the driver's tables, with the SQL each query is compared with.
 
+The event stream is read as blocks of 100 events: block = event_id div 100 + 1, place in the block = event_id % 100, time =
+milliseconds of ts. Every query runs over its whole table.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import changes
+from .operators.reducers import state_at
+from .plans.dataflow import Dataflow
+
+EVENTS = "CREATE TABLE events (event_id Int64, t DateTime, user_id Int64, event_type String, value Float64);\n"
+#: The stream as DuckDB sees it.
+SQL_EVENTS = "WITH e AS (SELECT event_id, event_id // 100 + 1 AS b, event_id % 100 AS i, epoch_us(ts) // 1000 AS t, user_id, event_type, value FROM events)"
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return raw.select("event_id", F.expr("event_id div 100 + 1").alias("block_number"), F.expr("event_id % 100").alias("_row_index"), F.col("ts").alias("t"), "user_id", "event_type", "value")
+
+
+def flow(spark: SparkSession, sf_dir: str, ddl: str, change: Callable[[DataFrame], DataFrame] | None = None) -> Dataflow:
+    rows = stream(spark, sf_dir)
+    return Dataflow(EVENTS + ddl, {"events": change(rows) if change else rows})
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    """Sums of doubles depend on their order in the last digits."""
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _simple(name: str, ddl: str, sql: str, *floats: str) -> None:
+    """A query that is the state of the view ``v`` of ``ddl``."""
+    query(name, sql)(lambda spark, sf_dir: rounded(flow(spark, sf_dir, ddl).state("v"), *floats))
+
+
+# views
+_simple("mv_sum_count", "CREATE MATERIALIZED VIEW v AS SELECT event_type, sum(value) AS total, count() AS n FROM events GROUP BY event_type",
+        f"{SQL_EVENTS} SELECT event_type, round(sum(value), 4) AS total, count(*) AS n FROM e GROUP BY 1", "total")
+_simple("mv_all_aggs", """CREATE MATERIALIZED VIEW v AS SELECT user_id, sum(value) AS s, count(value) AS n, min(value) AS lo, max(value) AS hi,
+        avg(value) AS mean, first(value) AS head, last(value) AS tail FROM events GROUP BY user_id""",
+        f"""{SQL_EVENTS} SELECT user_id, round(sum(value), 4) AS s, count(value) AS n, min(value) AS lo, max(value) AS hi, round(sum(value) / count(value), 4) AS mean,
+        arg_min(value, event_id) AS head, arg_max(value, event_id) AS tail FROM e GROUP BY 1""", "s", "mean")
+_simple("mv_global", "CREATE MATERIALIZED VIEW v AS SELECT sum(value) AS total, count() AS n, max(t) AS latest FROM events",
+        f"{SQL_EVENTS} SELECT round(sum(value), 4) AS total, count(*) AS n, max(t) AS latest FROM e", "total")
+_simple("mv_uint64_sum", "CREATE MATERIALIZED VIEW v AS SELECT event_type, sum(user_id) AS ids, avg(user_id) AS mean FROM events GROUP BY event_type",
+        f"{SQL_EVENTS} SELECT event_type, CAST(sum(user_id) AS BIGINT) AS ids, round(CAST(sum(user_id) AS DOUBLE) / count(user_id), 4) AS mean FROM e GROUP BY 1", "mean")
+_simple("mv_first_last_text", "CREATE MATERIALIZED VIEW v AS SELECT user_id, first(event_type) AS head, last(event_type) AS tail FROM events GROUP BY user_id",
+        f"{SQL_EVENTS} SELECT user_id, arg_min(event_type, event_id) AS head, arg_max(event_type, event_id) AS tail FROM e GROUP BY 1")
+_simple("projection_rename", "CREATE MATERIALIZED VIEW v AS SELECT user_id AS who, event_type AS what, count() AS n FROM events GROUP BY user_id, event_type",
+        f"{SQL_EVENTS} SELECT user_id AS who, event_type AS what, count(*) AS n FROM e GROUP BY 1, 2")
+
+_NULLS = lambda df: df.withColumn("value", F.when(F.col("user_id") % 3 != 0, F.col("value")))
+_SQL_NULLS = "CASE WHEN user_id % 3 <> 0 THEN value END"
+
+
+@query("mv_count_col_nulls", f"{SQL_EVENTS} SELECT user_id, count({_SQL_NULLS}) AS n, count(*) AS n_rows FROM e GROUP BY 1")
+def mv_count_col_nulls(spark, sf_dir):
+    return flow(spark, sf_dir, "CREATE MATERIALIZED VIEW v AS SELECT user_id, count(value) AS n, count() AS n_rows FROM events GROUP BY user_id", _NULLS).state("v")
+
+
+@query("mv_sum_empty_zero", f"{SQL_EVENTS} SELECT user_id, round(coalesce(sum({_SQL_NULLS}), 0), 4) AS total, count(*) AS n, min({_SQL_NULLS}) AS lo FROM e GROUP BY 1")
+def mv_sum_empty_zero(spark, sf_dir):
+    ddl = "CREATE MATERIALIZED VIEW v AS SELECT user_id, sum(value) AS total, count() AS n, min(value) AS lo FROM events GROUP BY user_id"
+    return rounded(flow(spark, sf_dir, ddl, _NULLS).state("v"), "total")
+
+
+@query("mv_invisible_groups", f"{SQL_EVENTS} SELECT user_id, round(sum({_SQL_NULLS}), 4) AS total FROM e GROUP BY 1 HAVING count({_SQL_NULLS}) > 0")
+def mv_invisible_groups(spark, sf_dir):
+    """Groups whose aggregates hold no data are not in the view."""
+    return rounded(flow(spark, sf_dir, "CREATE MATERIALIZED VIEW v AS SELECT user_id, sum(value) AS total FROM events GROUP BY user_id", _NULLS).state("v"), "total")
+
+
+@query("mv_uint256_sum", f"""{SQL_EVENTS} SELECT event_type, lower(lpad(printf('%x', CAST(sum(user_id) AS BIGINT)), 64, '0')) AS total,
+       lower(lpad(printf('%x', CAST(max(user_id) AS BIGINT)), 64, '0')) AS hi FROM e GROUP BY 1""")
+def mv_uint256_sum(spark, sf_dir):
+    ddl = "CREATE TABLE wide (id UInt256, event_type String); CREATE MATERIALIZED VIEW v AS SELECT event_type, sum(id) AS total, max(id) AS hi FROM wide GROUP BY event_type"
+    rows = stream(spark, sf_dir).withColumn("id", F.concat(F.lit("0x"), F.hex("user_id")))
+    return Dataflow(ddl, {"wide": rows}).state("v").select("event_type", F.lower(F.hex("total")).alias("total"), F.lower(F.hex("hi")).alias("hi"))
+
+
+@query("mv_wide_lineitem", """SELECT l_returnflag AS flag, l_linestatus AS status, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price,
+       count(*) AS n, min(l_discount) AS lo, max(l_tax) AS hi, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY 1, 2""")
+def mv_wide_lineitem(spark, sf_dir):
+    """The same plans over a wide fact table, blocks of orders."""
+    ddl = """CREATE TABLE lineitem (l_orderkey Int64, l_linenumber Int64, l_quantity Float64, l_extendedprice Float64, l_discount Float64, l_tax Float64, l_returnflag String, l_linestatus String);
+    CREATE MATERIALIZED VIEW v AS SELECT l_returnflag AS flag, l_linestatus AS status, sum(l_quantity) AS qty, sum(l_extendedprice) AS price, count() AS n,
+    min(l_discount) AS lo, max(l_tax) AS hi, avg(l_quantity) AS mean FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = raw.withColumn("block_number", F.expr("l_orderkey div 1000 + 1")).withColumn("_row_index", F.expr("l_orderkey % 1000 * 8 + l_linenumber"))
+    return rounded(rounded(Dataflow(ddl, {"lineitem": rows}).state("v"), "qty", "price", digits=2), "mean")
+
+
+# tumbling buckets
+def _tumble(unit: str) -> str:
+    return f"""CREATE MATERIALIZED VIEW v AS SELECT event_type, toStartOfInterval(t, INTERVAL {unit}) AS w, first(value) AS open, max(value) AS high, min(value) AS low,
+    last(value) AS close, sum(value) AS volume, count() AS n FROM events GROUP BY event_type, w"""
+
+
+def _sql_tumble(ms: int) -> str:
+    return f"""{SQL_EVENTS} SELECT event_type, (t // {ms}) * {ms} AS w, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low,
+    arg_max(value, event_id) AS close, round(sum(value), 4) AS volume, count(*) AS n FROM e GROUP BY 1, 2"""
+
+
+for _name, _unit, _ms in (("tumble_5m_ohlcv", "5 MINUTE", 300_000), ("tumble_1h", "1 HOUR", 3_600_000), ("tumble_1d", "1 DAY", 86_400_000), ("tumble_30s", "30 SECOND", 30_000)):
+    _simple(_name, _tumble(_unit), _sql_tumble(_ms), "volume")
+
+_simple("mergeable_moments", """CREATE REDUCER sq SOURCE events GROUP BY user_id STATE () WHEN row.value >= 0 THEN EMIT x = row.value, xx = row.value * row.value END;
+        CREATE MATERIALIZED VIEW v AS SELECT user_id, count() AS n, sum(x) AS sx, sum(xx) AS sxx FROM sq GROUP BY user_id""",
+        f"{SQL_EVENTS} SELECT user_id, count(*) AS n, round(sum(value), 4) AS sx, round(sum(value * value), 4) AS sxx FROM e WHERE value >= 0 GROUP BY 1", "sx", "sxx")
+
+# sliding windows
+_SLIDING = "CREATE MATERIALIZED VIEW v AS SELECT event_type, sum(value) AS total, count() AS n FROM events GROUP BY event_type WINDOW SLIDING INTERVAL {} BY t"
+_SQL_LIVE = SQL_EVENTS + ", bt AS (SELECT b, max(t) AS bt FROM e GROUP BY 1), live AS (SELECT b FROM bt WHERE bt >= (SELECT max(bt) FROM bt) - {})"
+_simple("sliding_6h_final", _SLIDING.format("6 HOURS"), _SQL_LIVE.format(21_600_000) + " SELECT event_type, round(sum(value), 4) AS total, count(*) AS n FROM e SEMI JOIN live USING (b) GROUP BY 1", "total")
+_simple("sliding_1d_all_aggs", """CREATE MATERIALIZED VIEW v AS SELECT user_id, sum(value) AS s, count() AS n, min(value) AS lo, max(value) AS hi, avg(value) AS mean, first(value) AS head, last(value) AS tail
+        FROM events GROUP BY user_id WINDOW SLIDING INTERVAL 1 DAY BY t""",
+        _SQL_LIVE.format(86_400_000) + """ SELECT user_id, round(sum(value), 4) AS s, count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean,
+        arg_min(value, event_id) AS head, arg_max(value, event_id) AS tail FROM e SEMI JOIN live USING (b) GROUP BY 1""", "s", "mean")
+
+_SQL_SPANS = (
+    SQL_EVENTS
+    + """, bt AS (SELECT b, max(t) AS bt FROM e GROUP BY 1), wm AS (SELECT b, bt, max(bt) OVER (ORDER BY b) AS wm FROM bt),
+sp AS (SELECT a.b, min(c.b) AS e FROM wm a LEFT JOIN wm c ON c.b >= a.b AND c.wm - {} > a.bt GROUP BY 1),
+p AS (SELECT event_type, b, sum(value) AS s, count(*) AS n FROM e GROUP BY 1, 2), q AS (SELECT p.*, sp.e FROM p JOIN sp USING (b)),
+m AS (SELECT event_type, b AS k FROM q UNION SELECT event_type, e FROM q WHERE e IS NOT NULL),
+st AS (SELECT m.event_type, m.k, sum(q.s) AS total, count(q.s) AS parts, CAST(sum(q.n) AS BIGINT) AS n FROM m LEFT JOIN q ON q.event_type = m.event_type AND q.b <= m.k AND (q.e IS NULL OR m.k < q.e) GROUP BY 1, 2),
+sr AS (SELECT event_type, k, CASE WHEN parts > 0 THEN round(total, 4) END AS total, CASE WHEN parts > 0 THEN n END AS n FROM st),
+lg AS (SELECT *, lag(total) OVER w AS pt, lag(n) OVER w AS pn FROM sr WINDOW w AS (PARTITION BY event_type ORDER BY k))
+SELECT k AS block, CASE WHEN n IS NOT NULL AND pn IS NULL THEN 'insert' WHEN n IS NULL THEN 'delete' ELSE 'update' END AS op,
+event_type, coalesce(total, pt) AS total, coalesce(n, pn) AS n, pt AS prev_total, pn AS prev_n
+FROM lg WHERE (n IS NOT NULL OR pn IS NOT NULL) AND (total IS DISTINCT FROM pt OR n IS DISTINCT FROM pn)"""
+)
+
+
+@query("sliding_changelog", _SQL_SPANS.format(21_600_000))
+def sliding_changelog(spark, sf_dir):
+    """Inserts, updates and deletes of a rolling view, by block."""
+    log = flow(spark, sf_dir, _SLIDING.format("6 HOURS")).changelog("v")
+    return rounded(log.selectExpr("_block as block", "_op as op", "event_type", "total", "n", "_prev_total as prev_total", "_prev_n as prev_n"), "total", "prev_total")
+
+
+# change logs
+_PLAIN = "CREATE MATERIALIZED VIEW v AS SELECT event_type, sum(value) AS total, count() AS n FROM events GROUP BY event_type"
+_SQL_RUN = SQL_EVENTS + """, p AS (SELECT event_type, b, sum(value) AS s, count(*) AS c FROM e GROUP BY 1, 2),
+r AS (SELECT event_type, b, sum(s) OVER w AS total, CAST(sum(c) OVER w AS BIGINT) AS n FROM p WINDOW w AS (PARTITION BY event_type ORDER BY b)),
+lg AS (SELECT *, lag(total) OVER w AS pt, lag(n) OVER w AS pn FROM r WINDOW w AS (PARTITION BY event_type ORDER BY b))"""
+
+
+@query("changelog_plain", _SQL_RUN + """ SELECT b AS block, CASE WHEN pn IS NULL THEN 'insert' ELSE 'update' END AS op, event_type, round(total, 4) AS total, n,
+       round(pt, 4) AS prev_total, pn AS prev_n FROM lg""")
+def changelog_plain(spark, sf_dir):
+    log = flow(spark, sf_dir, _PLAIN).changelog("v")
+    return rounded(log.selectExpr("_block as block", "_op as op", "event_type", "total", "n", "_prev_total as prev_total", "_prev_n as prev_n"), "total", "prev_total")
+
+
+_SQL_DIFF = """, x AS (SELECT event_type, sum(value) AS total, count(*) AS n FROM e WHERE {0} GROUP BY 1), y AS (SELECT event_type, sum(value) AS total, count(*) AS n FROM ({1}) GROUP BY 1)
+SELECT CASE WHEN x.n IS NULL THEN 'insert' WHEN y.n IS NULL THEN 'delete' ELSE 'update' END AS op, coalesce(y.event_type, x.event_type) AS event_type,
+round(coalesce(y.total, x.total), 4) AS total, coalesce(y.n, x.n) AS n, round(x.total, 4) AS prev_total, x.n AS prev_n
+FROM x FULL JOIN y ON x.event_type = y.event_type WHERE x.n IS DISTINCT FROM y.n OR x.total IS DISTINCT FROM y.total"""
+_NET = ["_op as op", "event_type", "total", "n", "_prev_total as prev_total", "_prev_n as prev_n"]
+
+
+@query("changelog_merged", SQL_EVENTS + _SQL_DIFF.format("b <= 50", "SELECT * FROM e WHERE b <= 90"))
+def changelog_merged(spark, sf_dir):
+    """Blocks 51 to 90 as one batch."""
+    log = flow(spark, sf_dir, _PLAIN).changelog("v", upto=90).where("_block > 50").withColumnRenamed("_block", "_order")
+    return rounded(changes.merge(log, ["event_type"], ["total", "n"]).selectExpr(*_NET), "total", "prev_total")
+
+
+@query("rollback_view", f"{SQL_EVENTS} SELECT event_type, round(sum(value), 4) AS total, count(*) AS n FROM e WHERE b <= 60 GROUP BY 1")
+def rollback_view(spark, sf_dir):
+    """The view once the blocks after 60 are undone: partials dropped, nothing recomputed."""
+    f = flow(spark, sf_dir, _PLAIN)
+    return rounded(f.views["v"].state(f.partials("v"), upto=60), "total")
+
+
+@query("rollback_compensation", SQL_EVENTS + _SQL_DIFF.format("true", "SELECT * FROM e WHERE b <= 60"))
+def rollback_compensation(spark, sf_dir):
+    """What a rollback to block 60 tells consumers."""
+    f = flow(spark, sf_dir, _PLAIN)
+    parts, plan = f.partials("v"), f.views["v"]
+    return rounded(changes.diff(plan.state(parts), plan.state(parts, upto=60), ["event_type"], ["total", "n"]).selectExpr(*_NET), "total", "prev_total")
+
+
+@query("raw_rollback_deletes", f"{SQL_EVENTS} SELECT 'delete' AS op, b AS block_number, i AS row_index, event_id, value FROM e WHERE b > 60")
+def raw_rollback_deletes(spark, sf_dir):
+    rows = flow(spark, sf_dir, "").source("events")
+    return changes.raw_deletes(rows, ["event_id", "value"], 60).withColumnsRenamed({"_op": "op", "_row_index": "row_index"})
+
+
+@query("raw_inserts", f"{SQL_EVENTS} SELECT 'insert' AS op, b AS block_number, i AS row_index, event_id, t FROM e")
+def raw_inserts(spark, sf_dir):
+    return changes.raw_inserts(flow(spark, sf_dir, "").source("events"), ["event_id", "t"]).withColumnsRenamed({"_op": "op", "_row_index": "row_index"})
+
+
+@query("raw_range_scan", f"{SQL_EVENTS} SELECT b AS block_number, i AS row_index, user_id, value FROM e WHERE b BETWEEN 20 AND 40")
+def raw_range_scan(spark, sf_dir):
+    rows = flow(spark, sf_dir, "").source("events").where(F.col("block_number").between(20, 40))
+    return rows.select("block_number", F.col("_row_index").alias("row_index"), "user_id", "value")
+
+
+@query("reingest_after_fork", f"{SQL_EVENTS} SELECT event_type, round(sum(CASE WHEN b > 60 THEN 2 * value ELSE value END), 4) AS total, count(*) AS n FROM e GROUP BY 1")
+def reingest_after_fork(spark, sf_dir):
+    """Blocks after 60 replaced by others: old partials cut at the fork, new ones added."""
+    f = flow(spark, sf_dir, _PLAIN)
+    again = flow(spark, sf_dir, _PLAIN, lambda df: df.where("block_number > 60").withColumn("value", F.col("value") * 2))
+    parts = f.partials("v").where("_block <= 60").unionByName(again.partials("v"))
+    return rounded(f.views["v"].state(parts), "total")
+
+
+@query("finalize_compaction", f"""{SQL_EVENTS} SELECT user_id, round(sum(value), 4) AS s, count(*) AS n, arg_min(value, event_id) AS head, arg_max(value, event_id) AS tail FROM e GROUP BY 1""")
+def finalize_compaction(spark, sf_dir):
+    """Partials up to block 70 compacted to one row per key; the view is the same."""
+    f = flow(spark, sf_dir, "CREATE MATERIALIZED VIEW v AS SELECT user_id, sum(value) AS s, count() AS n, first(value) AS head, last(value) AS tail FROM events GROUP BY user_id")
+    plan = f.views["v"]
+    return rounded(plan.state(plan.compact(f.partials("v"), 70)), "s")
+
+
+@query("apply_changes", f"{SQL_EVENTS} SELECT event_type, round(sum(value), 4) AS total, count(*) AS n FROM e GROUP BY 1")
+def apply_changes(spark, sf_dir):
+    """A consumer's table after it applies the change log in two batches."""
+    f = flow(spark, sf_dir, _PLAIN)
+    log = f.changelog("v").withColumnRenamed("_block", "_order")
+    table = None
+    for batch in (log.where("_order <= 55"), log.where("_order > 55")):
+        net = changes.merge(batch, ["event_type"], ["total", "n"])
+        table = changes.apply(net.select("event_type", "total", "n").limit(0) if table is None else table, net, ["event_type"], ["total", "n"])
+    return rounded(table, "total")
+
+
+@query("virtual_table_changes", f"{SQL_EVENTS} SELECT event_type, count(*) AS n FROM e GROUP BY 1")
+def virtual_table_changes(spark, sf_dir):
+    """A virtual table emits no records of its own; the view over it does."""
+    ddl = "CREATE VIRTUAL TABLE ev (event_type String); CREATE MATERIALIZED VIEW v AS SELECT event_type, count() AS n FROM ev GROUP BY event_type"
+    f = Dataflow(ddl, {"ev": stream(spark, sf_dir)})
+    logs = [f.changelog(name).withColumnRenamed("_block", "_order") for name in f.views]
+    return changes.merge(logs[0], ["event_type"], ["n"]).select("event_type", "n")
+
+
+# reducers
+_TOTAL = """CREATE REDUCER run SOURCE events GROUP BY user_id STATE (total Float64 DEFAULT 0)
+    WHEN row.value >= 0 THEN SET state.total = state.total + row.value EMIT event_id = row.event_id, running = state.total END;\n"""
+_SQL_TOTAL = "sum(CASE WHEN value >= 0 THEN value END) OVER (PARTITION BY user_id ORDER BY event_id)"
+
+
+@query("reducer_running_total", f"{SQL_EVENTS}, r AS (SELECT event_id, user_id, value, {_SQL_TOTAL} AS x FROM e) SELECT event_id, user_id, round(x, 4) AS running FROM r WHERE value >= 0")
+def reducer_running_total(spark, sf_dir):
+    return rounded(flow(spark, sf_dir, _TOTAL).source("run").select("event_id", "user_id", "running"), "running")
+
+
+@query("reducer_chained_double", f"{SQL_EVENTS}, r AS (SELECT event_id, user_id, value, {_SQL_TOTAL} AS x FROM e) SELECT user_id, round(2 * arg_max(x, event_id), 4) AS doubled FROM r WHERE value >= 0 GROUP BY 1")
+def reducer_chained_double(spark, sf_dir):
+    ddl = _TOTAL + """CREATE REDUCER twice SOURCE run GROUP BY user_id STATE () WHEN row.running = row.running THEN EMIT x = row.running * 2 END;
+    CREATE MATERIALIZED VIEW v AS SELECT user_id, last(x) AS doubled FROM twice GROUP BY user_id"""
+    return rounded(flow(spark, sf_dir, ddl).state("v"), "doubled")
+
+
+@query("reducer_when_filter", f"{SQL_EVENTS} SELECT event_id, user_id, CASE WHEN value > 50 THEN 'high' ELSE 'mid' END AS band, round(value / 2, 6) AS half FROM e WHERE value > 10")
+def reducer_when_filter(spark, sf_dir):
+    """The first WHEN that holds decides; rows without one emit nothing."""
+    ddl = """CREATE REDUCER r SOURCE events GROUP BY user_id STATE () WHEN row.value > 50 THEN EMIT event_id = row.event_id, band = 'high', half = row.value / 2
+    WHEN row.value > 10 THEN LET h = row.value / 2 EMIT row.event_id AS event_id, band = 'mid', half = h END"""
+    return rounded(flow(spark, sf_dir, ddl).source("r").select("event_id", "user_id", "band", "half"), "half", digits=6)
+
+
+@query("reducer_always_emit", f"""{SQL_EVENTS}, r AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM e)
+       SELECT event_id, user_id, coalesce(p, 0.0) AS last_purchase, CASE WHEN event_type = 'purchase' THEN 1 END AS hit FROM r""")
+def reducer_always_emit(spark, sf_dir):
+    ddl = """CREATE REDUCER r SOURCE events GROUP BY user_id STATE (p Float64 DEFAULT 0) WHEN row.event_type = 'purchase' THEN SET state.p = row.value EMIT hit = 1
+    ALWAYS EMIT event_id = row.event_id, last_purchase = state.p END"""
+    return flow(spark, sf_dir, ddl).source("r").selectExpr("event_id", "user_id", "last_purchase", "cast(hit as int) as hit")
+
+
+@query("reducer_empty_emit_counts", f"{SQL_EVENTS} SELECT user_id, count(*) AS n FROM e WHERE event_type = 'click' GROUP BY 1")
+def reducer_empty_emit_counts(spark, sf_dir):
+    """A WHEN that matches without EMIT still puts out a row of its keys."""
+    ddl = """CREATE REDUCER r SOURCE events GROUP BY user_id STATE () WHEN row.event_type = 'click' THEN LET x = 1 END;
+    CREATE MATERIALIZED VIEW v AS SELECT user_id, count() AS n FROM r GROUP BY user_id"""
+    return flow(spark, sf_dir, ddl).state("v")
+
+
+@query("expr_semantics", f"""{SQL_EVENTS}, x AS (SELECT event_id, user_id, {_SQL_NULLS} AS v, event_type FROM e) SELECT event_id,
+       CASE WHEN user_id % 5 = 0 THEN 0.0 ELSE round(v / CAST(user_id % 5 AS DOUBLE), 6) END AS div0, v IS NULL AS is_null, coalesce(v > 20, false) AS gt, coalesce(v <= 20, false) AS le,
+       CASE WHEN v <> 0 AND event_type <> 'view' THEN 'both' ELSE 'not' END AS cond FROM x WHERE v IS NOT NULL OR user_id % 5 <> 0 OR true""")
+def expr_semantics(spark, sf_dir):
+    ddl = """CREATE TABLE x (event_id Int64, user_id Int64, m Int64, v Float64, event_type String);
+    CREATE REDUCER r SOURCE x GROUP BY user_id STATE ()
+    WHEN 1 = 1 THEN LET q = row.v / row.m
+      EMIT event_id = row.event_id, div0 = IF(row.m = 0, 0.0, q), is_null = row.v = row.nothing, gt = v > 20, le = v <= 20, cond = IF(row.v AND row.event_type != 'view', 'both', 'not') END"""
+    rows = _NULLS(stream(spark, sf_dir)).withColumn("m", F.col("user_id") % 5).withColumnRenamed("value", "v")
+    return rounded(Dataflow(ddl, {"x": rows}).source("r").select("event_id", "div0", "is_null", "gt", "le", "cond"), "div0", digits=6)
+
+
+_PNL = """CREATE TABLE trades (event_id Int64, user String, side String, amount Float64, price Float64);
+CREATE REDUCER pnl SOURCE trades GROUP BY user STATE (quantity Float64 DEFAULT 0, cost Float64 DEFAULT 0)
+  WHEN row.side = 'buy' THEN SET state.quantity = state.quantity + row.amount SET state.cost = state.cost + row.amount * row.price EMIT gain = 0
+  WHEN row.side = 'sell' THEN LET mean = state.cost / state.quantity SET state.quantity = state.quantity - row.amount SET state.cost = state.cost - row.amount * mean EMIT gain = row.amount * (row.price - mean)
+  ALWAYS EMIT held = state.quantity END;
+CREATE MATERIALIZED VIEW v AS SELECT user, sum(gain) AS total, last(held) AS position, count() AS n FROM pnl GROUP BY user"""
+
+
+@query("reducer_pnl", f"""{SQL_EVENTS.replace('WITH e', 'WITH RECURSIVE e')}, o AS (SELECT CAST(user_id AS VARCHAR) AS u, event_id, event_type = 'purchase' AS sell, CAST(user_id % 7 + 1 AS DOUBLE) AS a, value AS p,
+       row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e),
+       f AS (SELECT u, k, CASE WHEN sell THEN -a ELSE a END AS q, CASE WHEN sell THEN 0.0 ELSE a * p END AS c, CASE WHEN sell THEN a * p ELSE 0.0 END AS g FROM o WHERE k = 1
+       UNION ALL SELECT o.u, o.k, CASE WHEN sell THEN q - a ELSE q + a END, CASE WHEN sell THEN c - a * (CASE WHEN q = 0 THEN 0.0 ELSE c / q END) ELSE c + a * p END,
+       CASE WHEN sell THEN a * (p - (CASE WHEN q = 0 THEN 0.0 ELSE c / q END)) ELSE 0.0 END FROM f JOIN o ON o.u = f.u AND o.k = f.k + 1)
+       SELECT u AS "user", round(sum(g), 3) AS total, arg_max(q, k) AS position, count(*) AS n FROM f GROUP BY 1""")
+def reducer_pnl(spark, sf_dir):
+    """Average-cost profit: a fold that windows can't express."""
+    rows = stream(spark, sf_dir).selectExpr("event_id", "block_number", "_row_index", "cast(user_id as string) as user", "if(event_type = 'purchase', 'sell', 'buy') as side", "user_id % 7 + 1 as amount", "value as price")
+    return rounded(Dataflow(_PNL, {"trades": rows}).state("v"), "total", digits=3)
+
+
+@query("reducer_enrich_asof", f"""{SQL_EVENTS}, r AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (ORDER BY event_id) AS ref FROM e)
+       SELECT event_id, round(value * coalesce(ref, 0.0), 6) AS priced FROM r WHERE event_type = 'purchase'""")
+def reducer_enrich_asof(spark, sf_dir):
+    """Last known reference price, one key for all rows: the windows run per block."""
+    ddl = """CREATE TABLE x (event_id Int64, one String, event_type String, value Float64);
+    CREATE REDUCER r SOURCE x GROUP BY one STATE (ref Float64 DEFAULT 0) WHEN row.event_type = 'signup' THEN SET state.ref = row.value
+    WHEN row.event_type = 'purchase' THEN EMIT event_id = row.event_id, priced = row.value * state.ref END"""
+    rows = stream(spark, sf_dir).withColumn("one", F.lit("all"))
+    return rounded(Dataflow(ddl, {"x": rows}).source("r").where("event_id is not null").select("event_id", "priced"), "priced", digits=6)
+
+
+@query("state_snapshot_at_block", f"""{SQL_EVENTS} SELECT user_id, round(sum(value), 4) AS total FROM e WHERE value >= 0 AND b <= 40 GROUP BY 1
+       UNION ALL SELECT user_id, 0.0 FROM e WHERE b <= 40 GROUP BY 1 HAVING count(*) FILTER (WHERE value >= 0) = 0""")
+def state_snapshot_at_block(spark, sf_dir):
+    """Reducer state as a rollback to block 40 restores it."""
+    states = state_at(flow(spark, sf_dir, _TOTAL).snapshots("run"), ["user_id"], 40)
+    return rounded(states.select("user_id", F.get_json_object("_state", "$.total").cast("double").alias("total")), "total")
+
+
+@query("reducer_classifier_multi_emit", f"""{SQL_EVENTS}, o AS (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e WHERE event_type = 'purchase'),
+       h AS (SELECT user_id, min(event_id) AS hit FROM o WHERE run >= 200 GROUP BY 1)
+       SELECT o.user_id, o.event_id, greatest(o.event_id, h.hit) AS detected_at, value FROM o JOIN h USING (user_id)""")
+def reducer_classifier_multi_emit(spark, sf_dir):
+    """Purchases are held back until a user's total reaches 200, then all come out at once, and later ones as they come."""
+    from .ddl.model import Column, Native, Reducer, Schema, StateField, Table
+
+    def classify(state, row, ctx):
+        if row["event_type"] != "purchase":
+            return
+        now = {"event_id": row["event_id"], "value": row["value"], "detected_at": row["event_id"]}
+        if state["hit"]:
+            ctx.emit(now)
+            return
+        state["held"] = [*state["held"], now]
+        state["total"] += row["value"]
+        if state["total"] >= 200:
+            state["hit"] = True
+            for held in state["held"]:
+                ctx.emit(held | {"detected_at": row["event_id"]})
+            state["held"] = []
+
+    emits = (Column("event_id", "Int64"), Column("value", "Float64"), Column("detected_at", "Int64"))
+    state = (StateField("hit", "Boolean"), StateField("total", "Float64"), StateField("held", "JSON", "[]"))
+    table = Table("events", tuple(Column(n, t) for n, t in (("event_id", "Int64"), ("user_id", "Int64"), ("event_type", "String"), ("value", "Float64"))))
+    schema = Schema({"events": table}, reducers={"r": Reducer("r", "events", ("user_id",), state, Native(classify, emits))})
+    return Dataflow(schema, {"events": stream(spark, sf_dir)}).source("r").select("user_id", "event_id", "detected_at", "value")
+
+
+@query("fork_resolution", "WITH s AS (SELECT n_nationkey AS number, n_nationkey AS hash FROM nation), c AS (SELECT n_nationkey AS number, CASE WHEN n_nationkey > 17 THEN -1 ELSE n_nationkey END AS hash FROM nation) SELECT max(number) AS cursor FROM s JOIN c USING (number, hash)")
+def fork_resolution(spark, sf_dir):
+    """The highest block that both chains have under the same hash."""
+    ours = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey as number", "n_nationkey as hash")
+    theirs = ours.selectExpr("number", "if(number > 17, -1, hash) as hash")
+    return ours.join(theirs, ["number", "hash"]).agg(F.max("number").alias("cursor"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
