@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_level_bpe
+from .chat import op3_chat_formatting
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op4_line_dedup
 from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
 from .secrets import op8_secret_scans
+from .topk import ORACLE_SQL as TOP_K_SQL
+from .topk import op7_exact_top_k
 from .toxicity import op6_toxicity
 
 
@@ -16,9 +19,11 @@ def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_near_dedup": op2_near_dedup,
+        "op3_chat_formatting": op3_chat_formatting,
         "op4_line_dedup": op4_line_dedup,
         "op5_byte_level_bpe": op5_byte_level_bpe,
         "op6_toxicity": op6_toxicity,
+        "op7_exact_top_k": op7_exact_top_k,
         "op8_secret_scans": op8_secret_scans,
         "op9_quality_rules": op9_quality_rules,
     }
@@ -27,4 +32,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": LINE_DEDUP_SQL,
+        "op7_exact_top_k": TOP_K_SQL,
     }
