@@ -10,6 +10,7 @@ from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
 from .secrets import op8_secret_scans
+from .substrings import op10_suffix_dedup
 from .topk import ORACLE_SQL as TOP_K_SQL
 from .topk import op7_exact_top_k
 from .toxicity import op6_toxicity
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op7_exact_top_k": op7_exact_top_k,
         "op8_secret_scans": op8_secret_scans,
         "op9_quality_rules": op9_quality_rules,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
