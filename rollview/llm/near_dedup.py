@@ -8,8 +8,10 @@ documents that share a band are candidates, and candidates are verified by the e
 
 Copies (equal words) fall together before banding, by hash. In each band bucket documents are compared with the bucket's
 head, four different choices of heads over the bands, so a large group makes a few pairs per document and not all pairs.
-What then still lies outside the component that most of its bucket belongs to is compared with every document of the bucket
-in another component. So each pair that shares a bucket ends in one component or has been compared: no link is lost.
+Where a bucket then still holds documents of several components, the documents that such buckets connect are a family. Its
+largest component and its other documents are cut into blocks of bounded size; each block of others is compared with every
+block of the family by matrix products, and only the links that join components come out. So each pair that shares a bucket
+ends in one component or has been compared: no link is lost, and no pair becomes a row but those with heads.
 
 Words are what white space parts, in lower case; a text of one to four words is one shingle. Defined results: a null or
 empty text has no shingles and is a class of its own; an id is a document, so rows of one id stay or go together (several
@@ -22,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,16 +158,8 @@ def _features(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataF
 def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose exact similarity is high enough."""
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [(np.sort(shingles(words_of(t), s.words)) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
-
-        return work
-
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi")
-    sets = map_texts(texts, [F.col("doc"), F.col("text")], make, "doc long, shingles binary")
+    sets = _sets(docs, wanted, s, id_col, text_col)
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right"))
 
@@ -176,6 +171,102 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
+BLOCK = 1024  # documents of a block
+COLUMNS = 4096  # shingles of one matrix product
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(doc, shingles: sorted 32-bit hashes, repeated as often as they occur) of the documents of ``wanted``."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [(np.sort(shingles(words_of(t), s.words)) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+
+        return work
+
+    texts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi")
+    return map_texts(texts, [F.col("doc"), F.col("text")], make, "doc long, shingles binary")
+
+
+class _Side:
+    """Documents of one block: shares of weight as (row, shingle, share), and which have no shingle twice."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.doc, self.component = frame["doc"].to_numpy(), frame["component"].to_numpy()
+        self.raw = [np.frombuffer(x, "<u4") for x in frame["shingles"]]
+        parts = [np.unique(x, return_counts=True) for x in self.raw]
+        self.total = np.array([max(1, len(x)) for x in self.raw], dtype=np.float64)
+        self.plain = np.array([not len(c) or c.max() == 1 for _, c in parts], dtype=bool)
+        self.row = np.repeat(np.arange(len(parts)), [len(u) for u, _ in parts])
+        self.key = np.concatenate([u for u, _ in parts]) if parts else np.zeros(0, "<u4")
+        self.share = (np.concatenate([c for _, c in parts]) if parts else np.zeros(0)) / self.total[self.row]
+
+    def matrix(self, keys: np.ndarray, shares: bool) -> np.ndarray:
+        """Documents by ``keys`` (sorted): the shares, or ones."""
+        at = np.searchsorted(keys, self.key)
+        hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == self.key)
+        out = np.zeros((len(self.doc), len(keys)), dtype=np.float32)
+        out[self.row[hit], at[hit]] = self.share[hit] if shares else 1
+        return out
+
+
+def joining_links(left: _Side, right: _Side, similarity: float) -> list[tuple[int, int]]:
+    """Links between the two sides that join components, none that closes a circle."""
+    keys = np.intersect1d(left.key, right.key)
+    near = np.zeros((2, len(left.doc), len(right.doc)), dtype=np.float64)  # the share of either that the other has too
+    for a in range(0, len(keys), COLUMNS):
+        part = keys[a : a + COLUMNS]
+        near[0] += left.matrix(part, True) @ right.matrix(part, False).T
+        near[1] += left.matrix(part, False) @ right.matrix(part, True).T
+    both = np.rint(near[0] * left.total[:, None])
+    plain = both / (left.total[:, None] + right.total[None] - both)  # where no shingle repeats; else a bound must do
+    most = np.where(left.plain[:, None] & right.plain[None], plain + 1e-9, near.min(axis=0) + 1e-4)
+    able = (most >= similarity) & (left.component[:, None] != right.component[None])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(able):
+        a, b = find(int(left.component[i])), find(int(right.component[j]))
+        if a == b:
+            continue
+        exact = left.plain[i] and right.plain[j]
+        if exact or probability_jaccard(left.raw[i], right.raw[j]) >= similarity:
+            root[a] = b
+            out.append((int(left.doc[i]), int(right.doc[j])))
+    return out
+
+
+def _family_links(split: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Links between the components that ``split`` (doc, head, component) still holds apart in one bucket."""
+    family = components(split.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct())
+    members = cut(split.select("doc", "component").distinct().join(family.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc"))
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n")).select("family", F.col("m.component").alias("main"), F.col("m.n").alias("in_main"), "n").where("n > in_main")
+    placed = members.join(main, "family").withColumn("other", F.col("component") != F.col("main"))
+    count = F.when(F.col("other"), F.col("n") - F.col("in_main")).otherwise(F.col("in_main"))
+    placed = cut(placed.select("doc", "component", "family", "other", F.pmod(F.xxhash64("doc"), F.ceil(count / F.lit(BLOCK))).alias("block")))
+    blocks = placed.select("family", "other", "block").distinct()
+    others = blocks.where("other").select("family", F.col("block").alias("x"))
+    pairs = cut(others.join(blocks, "family").where("not other or block >= x").select("family", "x", "other", "block"))
+    sets = _sets(docs, placed.select("doc"), s, id_col, text_col).join(placed, "doc")
+    own = sets.alias("s").join(pairs.alias("p"), F.expr("s.other and s.family = p.family and s.block = p.x")).select("p.family", "p.x", "p.other", "p.block", "s.doc", "s.component", "s.shingles", F.lit(0).alias("side"))
+    met = sets.alias("s").join(pairs.alias("p"), F.expr("s.family = p.family and s.other = p.other and s.block = p.block")).where("not (p.other and p.x = p.block)").select("p.family", "p.x", "p.other", "p.block", "s.doc", "s.component", "s.shingles", F.lit(1).alias("side"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        left = _Side(frame[frame["side"] == 0])
+        right = _Side(frame[frame["side"] == 1]) if (frame["side"] == 1).any() else left
+        return pd.DataFrame(joining_links(left, right, s.similarity), columns=["a", "b"], dtype="int64")
+
+    return own.unionByName(met).groupBy("family", "x", "other", "block").applyInPandas(compare, "a long, b long")
+
+
 def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -185,25 +276,20 @@ def near_classes(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     s = settings
     features = cut(_features(docs, s, id_col, text_col))
     copies = features.where("n > 0").groupBy("c1", "c2").agg(F.min("doc").alias("first"))
-    members = features.join(copies, ["c1", "c2"], "left").select("doc", F.coalesce("first", "doc").alias("first"), "n", "bands")
-    members = cut(members.select("doc", "first", "n", F.when(F.col("doc") == F.col("first"), F.col("bands")).alias("bands")))
-    band = F.posexplode("bands").alias("band", "key")
-    rows = members.where("n > 0 and bands is not null").select("doc", "n", band)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("doc", F.col("band") % 4).alias("h"), "doc", "n")).alias("head")).where("many > 1")
-    rows = rows.join(shared.select("key", "head"), "key")
-    rows = cut(rows.select("key", "doc", "n", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n")))
-    close = lambda x, y: F.least(x, y) >= F.lit(s.similarity) * F.greatest(x, y)  # noqa: E731  needed for the similarity of sets
+    members = features.join(copies, ["c1", "c2"], "left").select("doc", F.coalesce("first", "doc").alias("first"), "bands")
+    members = cut(members.select("doc", "first", F.when((F.col("doc") == F.col("first")) & (F.size("bands") > 0), F.col("bands")).alias("bands")))
+    rows = members.where("bands is not null").select("doc", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("doc", F.col("band") % 4).alias("h"), "doc")).alias("head")).where("many > 1")
+    rows = cut(rows.join(shared.select("key", F.col("head.doc").alias("head")), "key").select("key", "doc", "head"))
     compared = cut(rows.where("doc <> head").select(*_pairs("doc", "head")).distinct())
-    same = members.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     links = cut(_verified(compared, docs, s, id_col, text_col))
     named = components(links)
-    placed = rows.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("many", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
-    split = cut(placed.join(main, "key"))
-    outside = split.where("component <> main").select("key", F.col("doc").alias("x"), F.col("component").alias("xc"))
-    rest = outside.join(split, "key").where("component <> xc and doc <> x").select(*_pairs("x", "doc")).distinct().join(compared, ["a", "b"], "left_anti")
-    more = cut(_verified(cut(rest), docs, s, id_col, text_col))
+    placed = rows.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "head", F.coalesce("component", "doc").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
+    # a bucket of two was compared in full
+    split = cut(placed.join(apart.where("low < high and many > 2").select("key"), "key", "left_semi").select("doc", "head", "component").distinct())
+    more = cut(_family_links(split, docs, s, id_col, text_col))
+    same = members.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     named = components(same.unionByName(links).unionByName(more))
     return members.select("doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("class"))
 
