@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, id_key, map_texts, table
+from .common import cut, id_back, id_key, map_texts, shuffle_partitions, table
 from .components import components
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -202,6 +202,13 @@ class _Side:
         self.key = np.concatenate([u for u, _ in parts]) if parts else np.zeros(0, "<u4")
         self.share = (np.concatenate([c for _, c in parts]) if parts else np.zeros(0)) / self.total[self.row]
 
+    def among(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, number of the key, share) of the shingles in ``keys`` (sorted), by key."""
+        at = np.searchsorted(keys, self.key)
+        hit = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == self.key)) if len(keys) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        return self.row[hit], at[hit], self.share[hit]
+
     def matrix(self, keys: np.ndarray, shares: bool) -> np.ndarray:
         """Documents by ``keys`` (sorted): the shares, or ones."""
         at = np.searchsorted(keys, self.key)
@@ -214,11 +221,22 @@ class _Side:
 def joining_links(left: _Side, right: _Side, similarity: float) -> list[tuple[int, int]]:
     """Links between the two sides that join components, none that closes a circle."""
     keys = np.intersect1d(left.key, right.key)
-    near = np.zeros((2, len(left.doc), len(right.doc)), dtype=np.float64)  # the share of either that the other has too
-    for a in range(0, len(keys), COLUMNS):
-        part = keys[a : a + COLUMNS]
+    near = np.zeros((2, len(left.doc), len(right.doc)))  # the share of either that the other has too
+    (lrow, lkey, lshare), (rrow, rkey, rshare) = left.among(keys), right.among(keys)
+    lcount, rcount = np.bincount(lkey, minlength=len(keys)), np.bincount(rkey, minlength=len(keys))
+    frequent = lcount * rcount > 2048  # these by matrix product, the others pair by pair
+    often = keys[frequent]
+    for a in range(0, len(often), COLUMNS):
+        part = often[a : a + COLUMNS]
         near[0] += left.matrix(part, True) @ right.matrix(part, False).T
         near[1] += left.matrix(part, False) @ right.matrix(part, True).T
+    rare = ~frequent[lkey]
+    lrow, lkey, lshare = lrow[rare], lkey[rare], lshare[rare]
+    starts, repeats = np.cumsum(rcount) - rcount, rcount[lkey]
+    at = np.repeat(starts[lkey] - (np.cumsum(repeats) - repeats), repeats) + np.arange(repeats.sum())
+    cell = np.repeat(lrow, repeats) * len(right.doc) + rrow[at]
+    for side, weight in enumerate((np.repeat(lshare, repeats), rshare[at])):
+        near[side] += np.bincount(cell, weights=weight, minlength=near[side].size).reshape(near[side].shape)
     both = np.rint(near[0] * left.total[:, None])
     plain = both / (left.total[:, None] + right.total[None] - both)  # where no shingle repeats; else a bound must do
     most = np.where(left.plain[:, None] & right.plain[None], plain + 1e-9, near.min(axis=0) + 1e-4)
@@ -264,7 +282,9 @@ def _family_links(split: DataFrame, docs: DataFrame, s: Settings, id_col: str, t
         right = _Side(frame[frame["side"] == 1]) if (frame["side"] == 1).any() else left
         return pd.DataFrame(joining_links(left, right, s.similarity), columns=["a", "b"], dtype="int64")
 
-    return own.unionByName(met).groupBy("family", "x", "other", "block").applyInPandas(compare, "a long, b long")
+    # few bytes and much work: a stated number of partitions is not merged into fewer
+    dealt = own.unionByName(met).repartition(shuffle_partitions(docs.sparkSession), "family", "x", "other", "block")
+    return dealt.groupBy("family", "x", "other", "block").applyInPandas(compare, "a long, b long")
 
 
 def _pairs(x: str, y: str) -> list:
