@@ -284,29 +284,36 @@ def _gone(segments: DataFrame, length: int) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
-        heads, texts = [], []
-        for x in frame["data"][frame["kind"] == 0]:
+        stretches = [np.column_stack(_unpack(x, "<i8", "<i8", "<i8", "<i8")) for x in frame["data"][frame["kind"] == 1]]
+        heads, hashes, rows, places, at_row = [], [], [], [], 0
+        for x in frame["data"][frame["kind"] == 0]:  # one at a time: what stays of it is 14 bytes a string
             raw = zstandard.ZstdDecompressor().decompress(x)
             n = struct.unpack_from("<q", raw)[0]
-            heads.append(np.frombuffer(raw, "<i8", 4 * n, 8).reshape(n, 4))
-            texts.append(raw[8 + 32 * n :])
-        stretches = [np.column_stack(_unpack(x, "<i8", "<i8", "<i8", "<i8")) for x in frame["data"][frame["kind"] == 1]]
-        if heads:
-            head, blob = np.concatenate(heads), b"".join(texts) + b"\0" * (length + 8)
-            starts = np.concatenate([[0], np.cumsum(head[:, 3])])
+            head = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(n, 4)
+            starts = np.cumsum(head[:, 3]) - head[:, 3]
             counts = head[:, 3] - length + 1  # strings of each segment
-            row = np.repeat(np.arange(len(head)), counts)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            h = hash_runs(blob, int(starts[-1]), length)[starts[row] + inside]
-            doc = head[row, 0]
-            order = np.lexsort((doc, h))
-            hs, ds = h[order], doc[order]
-            begins = np.ones(len(hs), dtype=bool)
-            begins[1:] = hs[1:] != hs[:-1]
+            row = np.repeat(np.arange(n, dtype=np.uint32), counts)
+            inside = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint16)
+            blob = raw[8 + 32 * n :] + b"\0" * (length + 8)
+            hashes.append(hash_runs(blob, int(head[:, 3].sum()), length)[starts[row] + inside])
+            heads.append(head.copy())
+            rows.append(row + np.uint32(at_row))
+            places.append(inside)
+            at_row += n
+        if heads:
+            head, h, row, inside = (np.concatenate(x) for x in (heads, hashes, rows, places))
+            del heads, hashes, rows, places
+            rank = np.empty(len(head), dtype=np.uint32)  # of a segment's document
+            rank[:] = np.unique(head[:, 0], return_inverse=True)[1]
+            order = np.argsort(h)
+            begins = np.ones(len(h), dtype=bool)
+            begins[1:] = np.diff(h[order]) != 0
             at = np.flatnonzero(begins)
-            goes = np.zeros(len(hs), dtype=bool)
-            goes[order] = np.repeat(ds[at], np.diff([*at, len(hs)])) < ds
+            ranks = rank[row[order]]
+            goes = np.zeros(len(h), dtype=bool)
+            goes[order] = np.repeat(np.minimum.reduceat(ranks, at), np.diff([*at, len(h)])) < ranks
             hit = np.flatnonzero(goes)
+            del order, ranks, begins, h
             if len(hit):
                 new = np.flatnonzero((row[hit][1:] != row[hit][:-1]) | (inside[hit][1:] != inside[hit][:-1] + 1)) + 1
                 a, b = hit[np.concatenate([[0], new])], hit[np.concatenate([new - 1, [len(hit) - 1]])]
