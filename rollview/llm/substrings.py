@@ -87,6 +87,11 @@ class Block:
         self.rows = np.searchsorted(self.starts, self.anchors, side="right") - 1
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of anchors. Anchors are least hashes, so small ones abound: they are mixed once more."""
+    return (hashes * _M[4] >> np.uint64(48)).astype(np.int64) * buckets >> 16
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, compressed; 48 bits of hashes go as they are."""
     import zstandard
@@ -159,7 +164,7 @@ def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col:
                 alone = np.sort(order[~local])
                 take = np.concatenate([sent, alone])
                 flags = np.concatenate([np.ones(len(sent), np.uint8), np.zeros(len(alone), np.uint8)])
-                bucket = (h[take] >> np.uint64(48)).astype(np.int64) * buckets >> 16
+                bucket = _bucket(h[take], buckets)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 out = []
@@ -251,8 +256,8 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 cut_at = np.flatnonzero((owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
                 begin, end = starts[np.concatenate([[0], cut_at])], starts[np.concatenate([cut_at - 1, [len(starts) - 1]])]
                 own = np.searchsorted(block.starts, begin, side="right") - 1
-                gram = block.hashes[block.owner[begin]]
-                for a, b, r, g in zip(begin.tolist(), end.tolist(), own.tolist(), gram.tolist(), strict=True):
+                bucket = _bucket(block.hashes[block.owner[begin]], buckets)
+                for a, b, r, g in zip(begin.tolist(), end.tolist(), own.tolist(), bucket.tolist(), strict=True):
                     doc, version = group[r][:2]
                     sources.setdefault(block.blob[a : b + length], []).append((doc, version, a - int(block.starts[r]), g))
             gone: list[tuple[int, int, int, int]] = []
@@ -261,7 +266,7 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 least = min(h[0] for h in held)
                 for doc, version, at, g in held:
                     if doc == least:
-                        sent[(g >> 48) * buckets >> 16].append((doc, version, at, text))
+                        sent[g].append((doc, version, at, text))
                     else:
                         gone.append((doc, version, at, at + len(text)))
             out = []
