@@ -72,8 +72,10 @@ def ingest_column(column: Column, kind: T.DataType, type_: str) -> Column:
     """A column of an incoming table as its declared type; what can't be read as that type is null."""
     if type_ == "UInt256":
         return to_uint256(column, kind)
-    if type_ == "DateTime" and isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_millis(column.cast("timestamp"))
+    if type_ == "DateTime" and isinstance(kind, T.TimestampType):
+        return F.unix_millis(column)
+    if type_ == "DateTime" and isinstance(kind, T.TimestampNTZType):  # its wall clock counts as UTC, whatever the session's zone
+        return F.unix_millis(F.from_utc_timestamp(column.cast("timestamp"), F.current_timezone()))
     if type_ == "JSON" and isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(column)
     if isinstance(kind, T.StringType) and type_ in NUMBERS | {"Boolean"}:

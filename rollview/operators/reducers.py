@@ -129,7 +129,7 @@ class ReducerPlan:
         return state.get(ref.name, "Float64") if ref.scope != "row" else "Float64"
 
     def _type(self, e: Expr, local: dict[str, str]) -> str:
-        from ..functions.expressions import ARITHMETIC, If, Literal
+        from ..functions.expressions import ARITHMETIC, Literal
 
         if isinstance(e, Literal):
             return "String" if isinstance(e.value, str) else "Float64" if isinstance(e.value, float) else "Int64"
