@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Up to so many links one task joins them by union-find, in some tens of MB; beyond, rounds over all tasks find the same.
+ONE_TASK = 500_000
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``links`` (a, b); a component is named by its smallest node.
 
-    Each round a node takes the smallest name among its own and its neighbours', and then the name that this name has by
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, component) of every node of ``links`` (a, b); a component is named by its smallest node."""
+    links = cut(links.select("a", "b"))
+    if links.count() <= one_task:
+        return cut(links.coalesce(1).mapInArrow(_union_find, "node long, component long"))
+    return _rounds(links)
+
+
+def _union_find(batches):
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def _rounds(links: DataFrame) -> DataFrame:
+    """Each round a node takes the smallest name among its own and its neighbours', and then the name that this name has by
     now, so names travel twice as far each round. Rounds end when no name changes. Links and names stay in tables, each
     round's names are written to the checkpoint folder, and only a count reaches the driver.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     names = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         heard = both.join(names, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))

@@ -301,17 +301,24 @@ def near_classes(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     rows = members.where("bands is not null").select("doc", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("doc", F.col("band") % 4).alias("h"), "doc")).alias("head")).where("many > 1")
     rows = cut(rows.join(shared.select("key", F.col("head.doc").alias("head")), "key").select("key", "doc", "head"))
-    compared = cut(rows.where("doc <> head").select(*_pairs("doc", "head")).distinct())
-    links = cut(_verified(compared, docs, s, id_col, text_col))
+    compared = rows.where("doc <> head").select(*_pairs("doc", "head")).distinct()
+    links = cut(_verified(cut(compared), docs, s, id_col, text_col))
     named = components(links)
     placed = rows.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "head", F.coalesce("component", "doc").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
     # a bucket of two was compared in full
     split = cut(placed.join(apart.where("low < high and many > 2").select("key"), "key", "left_semi").select("doc", "head", "component").distinct())
     more = cut(_family_links(split, docs, s, id_col, text_col))
-    same = members.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    named = components(same.unionByName(links).unionByName(more))
-    return members.select("doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("class"))
+    # an id with several texts ties the classes of these
+    several = members.groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("doc", "a", "b")
+    ties = several.join(members.select("doc", "first"), "doc").select("a", F.col("first").alias("b")).where("a < b")
+    named = components(links.unionByName(more).unionByName(ties))
+    return _classes(members, named)
+
+
+def _classes(members: DataFrame, named: DataFrame) -> DataFrame:
+    """The class of every row by that of the first of its copies, which is the smallest of them."""
+    return members.select("doc", "first").join(named.withColumnRenamed("node", "first"), "first", "left").select("doc", F.coalesce("component", "first").alias("class"))
 
 
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

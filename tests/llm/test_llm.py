@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from rollview.llm.components import components
 from rollview.llm import bpe, chat, line_dedup, near_dedup, packing, quality, queries, secrets, substrings, topk, toxicity
 from rollview.llm.tokens import Encoder, chunks, read_ranks
 
@@ -197,6 +198,14 @@ def test_near_dedup(spark):
     assert near_dedup.near_classes(empty(df)).count() == 0
 
 
+def test_components_by_rounds_and_in_one_task(spark):
+    random = np.random.default_rng(9)
+    links = [(int(a), int(b)) for a, b in random.integers(0, 300, (220, 2))] + [(1000 + k, 1001 + k) for k in range(40)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one, many = (sorted(map(tuple, components(df, n).select("node", "component").collect())) for n in (10**6, 0))
+    assert one == many and (1040, 1000) in one
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     random = np.random.default_rng(5)
     keys = random.integers(1, 1 << 62, 60).astype(np.uint64)
