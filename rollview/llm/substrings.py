@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -93,7 +92,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, compressed; 48 bits of hashes go as they are."""
+    """Arrays of one length, compressed."""
     import zstandard
 
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
@@ -111,13 +110,33 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _by_document(doc: np.ndarray, version: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Rows (document, version, packed columns) of arrays sorted by document and version."""
-    if not len(doc):
-        return
-    edges = np.flatnonzero((doc[1:] != doc[:-1]) | (version[1:] != version[:-1])) + 1
-    for a, b in zip([0, *edges], [*edges, len(doc)], strict=True):
-        yield int(doc[a]), int(version[a]), [c[a:b].tobytes() for c in columns]
+def _hash6(h: np.ndarray) -> np.ndarray:
+    """48 bits of hashes, as six bytes each: two anchors that fall together cost work and change no result."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _scatter(parts: int, doc: np.ndarray, version: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """(part, data): rows packed by a part that depends on the document."""
+    part = (doc.astype(np.uint64) * _M[0] >> np.uint64(48)).astype(np.int64) * parts >> 16
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(parts + 1))
+    rows = [(p, _pack(doc[m], version[m], *(c[m] for c in columns))) for p in range(parts) if len(m := by[cuts[p] : cuts[p + 1]])]
+    return pd.DataFrame(rows, columns=["part", "data"])
+
+
+def _gather(scattered: DataFrame, **kinds: str) -> DataFrame:
+    """One row per document and version, each of ``kinds`` as packed bytes."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        unpacked = [_unpack(x, "<i8", "<i8", *kinds.values()) for x in frame["data"]]
+        doc, version, *columns = (np.concatenate(c) for c in zip(*unpacked, strict=True))
+        order = np.lexsort((version, doc))
+        doc, version, columns = doc[order], version[order], [c[order] for c in columns]
+        edges = np.flatnonzero((doc[1:] != doc[:-1]) | (version[1:] != version[:-1])) + 1
+        rows = [(int(doc[a]), int(version[a]), *(c[a:b].tobytes() for c in columns)) for a, b in zip([0, *edges], [*edges, len(doc)], strict=True)]
+        return pd.DataFrame(rows, columns=["doc", "version", *kinds])
+
+    return scattered.groupBy("part").applyInPandas(run, "doc long, version long, " + ", ".join(f"{k} binary" for k in kinds))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -126,7 +145,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def zip_(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for batch in slices(whole, 2):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc", "version", "zipped"])
@@ -172,7 +191,7 @@ def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col:
                     mine = by[cuts[b] : cuts[b + 1]]
                     if len(mine):
                         t = take[mine]
-                        out.append((b, 0, _pack(h[t], doc[t], version[t], place[t], flags[mine])))
+                        out.append((b, 0, _pack(_hash6(h[t]), doc[t], version[t], place[t], flags[mine])))
                 known = np.sort(order[local])
                 if len(known):
                     out.append((int(h[0] % np.uint64(buckets)), 1, _pack(doc[known], version[known], place[known])))
@@ -182,14 +201,17 @@ def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col:
     return docs.select(id_key(id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
 
 
-def _shared(anchors: DataFrame) -> DataFrame:
+def _shared(anchors: DataFrame, parts: int) -> DataFrame:
     """(doc, version, places) of the anchors that more than one document has."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack(x, "<u8", "<i8", "<i8", "<u4", "u1") for x in frame["data"][frame["kind"] == 0]]
+        own = [_unpack(x, "V6", "<i8", "<i8", "<u4", "u1") for x in frame["data"][frame["kind"] == 0]]
         docs, versions, places = [], [], []
         if own:
-            h, doc, version, place, flag = (np.concatenate([x[k] for x in own]) for k in range(5))
+            six, doc, version, place, flag = (np.concatenate([x[k] for x in own]) for k in range(5))
+            whole = np.zeros((len(six), 8), dtype=np.uint8)
+            whole[:, :6] = six.view(np.uint8).reshape(-1, 6)
+            h = whole.view("<u8").ravel()
             order = np.lexsort((doc, h))
             h, doc, flag = h[order], doc[order], flag[order]
             begins = np.ones(len(h), dtype=bool)
@@ -204,13 +226,10 @@ def _shared(anchors: DataFrame) -> DataFrame:
             for column, value in zip((docs, versions, places), _unpack(x, "<i8", "<i8", "<u4"), strict=True):
                 column.append(value)
         if not docs:
-            return pd.DataFrame({"doc": [], "version": [], "places": []})
-        doc, version, place = (np.concatenate(c) for c in (docs, versions, places))
-        order = np.lexsort((version, doc))
-        rows = [(d, v, p[0]) for d, v, p in _by_document(doc[order], version[order], place[order].astype("<u4"))]
-        return pd.DataFrame(rows, columns=["doc", "version", "places"])
+            return pd.DataFrame({"part": [], "data": []})
+        return _scatter(parts, *(np.concatenate(c) for c in (docs, versions, places)))
 
-    return anchors.groupBy("bucket").applyInPandas(run, "doc long, version long, places binary")
+    return _gather(anchors.groupBy("bucket").applyInPandas(run, "part int, data binary"), places="<u4")
 
 
 def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -227,7 +246,7 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
             for batch in batches:
                 for doc, version, zipped, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                     text = unpack(zipped)
-                    rows.append((doc, version, text, np.unique(np.frombuffer(b"".join(places), "<u4").astype(np.int64))))
+                    rows.append((doc, version, text, np.unique(np.frombuffer(places, "<u4").astype(np.int64))))
                     size += len(text)
                     if size > 4_000_000:
                         yield rows
@@ -283,7 +302,7 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
     return marked.select("doc", "version", "zipped", "places").mapInArrow(run, "bucket int, kind int, data binary")
 
 
-def _gone(segments: DataFrame, length: int) -> DataFrame:
+def _gone(segments: DataFrame, length: int, parts: int) -> DataFrame:
     """(doc, version, begins, ends) of the stretches that go."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -325,13 +344,10 @@ def _gone(segments: DataFrame, length: int) -> DataFrame:
                 r = row[a]
                 stretches.append(np.column_stack([head[r, 0], head[r, 1], head[r, 2] + inside[a], head[r, 2] + inside[b] + length]))
         if not stretches:
-            return pd.DataFrame({"doc": [], "version": [], "begins": [], "ends": []})
-        all_ = np.concatenate(stretches)
-        all_ = all_[np.lexsort((all_[:, 2], all_[:, 1], all_[:, 0]))]
-        rows = [(d, v, *c) for d, v, c in _by_document(all_[:, 0], all_[:, 1], all_[:, 2], all_[:, 3])]
-        return pd.DataFrame(rows, columns=["doc", "version", "begins", "ends"])
+            return pd.DataFrame({"part": [], "data": []})
+        return _scatter(parts, *np.concatenate(stretches).astype("<i8").T)
 
-    return segments.groupBy("bucket").applyInPandas(run, "doc long, version long, begins binary, ends binary")
+    return _gather(segments.groupBy("bucket").applyInPandas(run, "part int, data binary"), begins="<i8", ends="<i8")
 
 
 def merged(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -347,21 +363,19 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_stretches(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, zipped, begins, ends): every row with the stretches of bytes that go, as lists of packed arrays, null
+    """(doc, version, zipped, begins, ends): every row with the stretches of bytes that go, as packed arrays, null
     where none go."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     buckets = max(8, shuffle_partitions(docs.sparkSession))
-    shared = _shared(_anchors(docs, length, buckets, id_col, text_col))
-    places = shared.groupBy("doc", "version").agg(F.collect_list("places").alias("places"))
+    shared = _shared(_anchors(docs, length, buckets, id_col, text_col), buckets)
     texts = _texts(docs, id_col, text_col)
-    marked = texts.dropDuplicates(["doc", "version"]).join(places, ["doc", "version"])
-    gone = _gone(_segments(marked, length, buckets), length)
-    return texts.join(gone.groupBy("doc", "version").agg(F.collect_list("begins").alias("begins"), F.collect_list("ends").alias("ends")), ["doc", "version"], "left")
+    marked = texts.dropDuplicates(["doc", "version"]).join(shared, ["doc", "version"])
+    return texts.join(_gone(_segments(marked, length, buckets), length, buckets), ["doc", "version"], "left")
 
 
-def _spans(begins: list[bytes] | None, ends: list[bytes] | None) -> list[tuple[int, int]]:
-    return merged(np.frombuffer(b"".join(begins), "<i8"), np.frombuffer(b"".join(ends), "<i8")) if begins else []
+def _spans(begins: bytes | None, ends: bytes | None) -> list[tuple[int, int]]:
+    return merged(np.frombuffer(begins, "<i8"), np.frombuffer(ends, "<i8")) if begins else []
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
