@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table
+from .common import cut, map_texts, slices, table
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -211,12 +211,12 @@ def fit_field(docs: DataFrame, with_spans: int = 1500, without: int = 1500, id_c
     """Train on at most ``with_spans`` texts that the base patterns match and ``without`` that they don't, drawn by a hash
     of their id; texts go to the driver up to those bounds, cut to 20,000 characters."""
     text = F.col(text_col)
-    names = text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    order = F.xxhash64(F.col(id_col), F.lit("field"))
-    drawn = docs.where(text.isNotNull()).select(F.substring(text, 1, 20_000).alias("text"), names.alias("hit"), order.alias("o"))
-    hits = drawn.where("hit").orderBy("o").limit(with_spans).select("text")
-    rest = drawn.where("not hit").orderBy("o").limit(without).select("text")
-    return train_field([c for r in [*hits.collect(), *rest.collect()] for c in tagged_chains(r.text)])
+    hit = text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    drawn = cut(docs.where(text.isNotNull()).select(F.col(id_col).alias("__rv_id"), hit.alias("hit"), F.xxhash64(F.col(id_col), F.lit("field")).alias("o")))
+    chosen = drawn.where("hit").orderBy("o", "__rv_id").limit(with_spans).unionByName(drawn.where("not hit").orderBy("o", "__rv_id").limit(without))
+    bounded = F.broadcast(chosen.select("__rv_id").distinct())  # at most with_spans + without ids
+    texts = docs.join(bounded, F.col(id_col) == F.col("__rv_id"), "left_semi").select(F.substring(text, 1, 20_000).alias("text"))
+    return train_field([c for r in texts.orderBy(F.xxhash64("text")).limit(with_spans + without).collect() for c in tagged_chains(r.text)])
 
 
 class Scanner:
