@@ -3,10 +3,12 @@
 A language reference holds two histograms over all documents of the language: character classes, and the most frequent
 short words with one bin for all other words. A document is rejected if the Jensen-Shannon distance (base 2, from 0 to 1)
 of either histogram to its reference is above a limit; texts shorter than a minimum length are too short to compare and
-pass this rule.
+pass this rule. The limit of words follows from the reference and the text's length: chance alone moves the histogram of a
+short text far, and a text without any common word lies no farther than the share of common words in the reference allows.
 
 Defined results: a null or empty text has no words and fails the base rule; a document whose language is null or has no
-reference is compared with the reference of all documents; repeated rows count as often as they come; an empty table gives
+reference is compared with the reference of all documents, and its words may fit that or the reference of any language;
+repeated rows count as often as they come; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -99,19 +101,39 @@ class Reference:
     classes: np.ndarray
     words: dict[bytes, int]  # bin by word; the last bin is for all others
     counts: np.ndarray
+    lengths: np.ndarray  # numbers of words, and the largest divergence (squared distance) of a text so long
+    limits: np.ndarray
+
+    def word_limit(self, n: int) -> float:
+        """The largest distance of a text of ``n`` words."""
+        return float(np.sqrt(np.interp(np.log(n), np.log(self.lengths), self.limits)))
 
 
 @dataclass(frozen=True)
 class Rules:
     """``short``: the longest word that may be a common word, in bytes. ``common``: common words by language.
-    ``least_chars`` and ``least_words``: below these a histogram says too little and is not compared."""
+    ``least_chars`` and ``least_words``: below these a histogram says too little and is not compared. ``word_share``: how far
+    words may lie beyond chance, as a share of the distance of a text without common words."""
 
     short: int = 4
     common: int = 48
     least_chars: int = 200
     least_words: int = 50
     class_limit: float = 0.30
-    word_limit: float = 0.65
+    word_share: float = 0.5
+
+
+def word_limits(counts: np.ndarray, rules: Rules, draws: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and the limits of the divergence there: the mean of random draws from the reference, and a share of the
+    divergence of a text without common words."""
+    lengths = rules.least_words * 2 ** np.arange(10)
+    if not counts.sum():
+        return lengths, np.ones(len(lengths))
+    random, without = np.random.default_rng(0), np.zeros(len(counts))
+    without[-1] = 1
+    margin = (rules.word_share * distance(without, counts)) ** 2
+    chance = [np.mean([distance(x, counts) ** 2 for x in random.multinomial(n, counts / counts.sum(), draws)]) for n in lengths]
+    return lengths, np.array(chance) + margin
 
 
 def learn_references(docs: DataFrame, rules: Rules, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
@@ -148,7 +170,7 @@ def learn_references(docs: DataFrame, rules: Rules, text_col: str = "text", lang
         common = [x for x in kinds.get(-2, []) if x[0]]
         total = kinds.get(-1, [(b"", 0)])[0][1]
         counts = np.array([n for _, n in common] + [max(0, total - sum(n for _, n in common))], dtype=float)
-        out[lang] = Reference(np.array([kinds[k][0][1] if k in kinds else 0 for k in range(len(CLASSES))], dtype=float), {w: k for k, (w, _) in enumerate(common)}, counts)
+        out[lang] = Reference(np.array([kinds[k][0][1] if k in kinds else 0 for k in range(len(CLASSES))], dtype=float), {w: k for k, (w, _) in enumerate(common)}, counts, *word_limits(counts, rules))
     return out
 
 
@@ -164,6 +186,15 @@ def distances(text: str, words: list[bytes], reference: Reference, rules: Rules)
     return by_class, distance(counts, reference.counts)
 
 
+def words_fit(words: list[bytes], found: float, own: Reference | None, references: dict[str, Reference], rules: Rules) -> bool:
+    """Whether the distance ``found`` to its own reference is within the limit; without one, that to any reference is."""
+    if len(words) < rules.least_words:
+        return True
+    if own is not None:
+        return found <= own.word_limit(len(words))
+    return any(distances("", words, r, rules)[1] <= r.word_limit(len(words)) for r in references.values())
+
+
 def score_quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The counts of every text, its two distances, and the verdict."""
     references = learn_references(docs, rules, text_col, lang_col)
@@ -175,9 +206,11 @@ def score_quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
                 words = words_of(text)
                 n, repeated = len(words), repeated_words(words)
                 failed = n < 50 or 100 * repeated > 50 * n
-                near = distances(text, words, references.get(lang) or references[ALL], rules)
+                own = references.get(lang) if lang != ALL else None
+                near = distances(text, words, own or references[ALL], rules)
+                fits = not failed and near[0] <= rules.class_limit and words_fit(words, near[1], own, references, rules)
                 blanks = sum(map(text.count, BLANKS))
-                rows.append((n, len(text) - blanks, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated, failed, not failed and near[0] <= rules.class_limit and near[1] <= rules.word_limit, *near))
+                rows.append((n, len(text) - blanks, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated, failed, fits, *near))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"])

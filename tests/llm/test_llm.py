@@ -349,6 +349,25 @@ def test_quality(odd, docs):
     assert quality.distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1 and quality.distance(np.array([2.0, 2]), np.array([1.0, 1])) == 0
 
 
+def test_quality_rejects_wrong_language_and_wordless_texts(spark):
+    random = np.random.default_rng(8)
+    common = {lang: [lang + chr(97 + k) for k in range(24)] for lang in "pq"}
+
+    def text(n, lang=None):  # a third of the words are common ones, by falling frequency
+        weights = 1 / np.arange(1, 25)
+        rare = ["".join(random.choice(list("abcdefgh"), 7)) for _ in range(n)]
+        return " ".join(str(random.choice(common[lang], p=weights / weights.sum())) if lang and random.random() < 0.34 else w for w in rare)
+
+    prose = [(i, text(int(random.integers(60, 600)), "pq"[i % 2]), "pq"[i % 2]) for i in range(300)]
+    odd = [(1000 + i, text(n, other), lang) for i, (n, other, lang) in enumerate([(n, o, x) for n in (60, 150, 500) for o, x in ((None, "p"), (None, "q"), ("q", "p"), ("p", "q"), (None, None))])]
+    unnamed = [(2000 + i, text(n, lang), None) for i, (n, lang) in enumerate([(60, "p"), (150, "q"), (500, "p")])]
+    df = spark.createDataFrame([*prose, *odd, *unnamed], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality.score_quality(df).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert not [i for i, _, _ in odd if found[i].kept]
+    assert all(found[i].kept for i, _, _ in unnamed) and np.mean([found[i].kept for i, _, _ in prose]) > 0.98
+
+
 def test_toxicity(spark, odd):
     random = np.random.default_rng(6)
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
