@@ -1,7 +1,7 @@
 """Quality rules: counts of a text, and how far its histograms lie from those of its language.
 
 A language reference holds two histograms over all documents of the language: character classes, and the most frequent
-short words with one bin for all other words. A document is rejected if the Jensen-Shannon distance (base 2, from 0 to 1)
+words with one bin for all other words. A document is rejected if the Jensen-Shannon distance (base 2, from 0 to 1)
 of either histogram to its reference is above a limit; texts shorter than a minimum length are too short to compare and
 pass this rule. The limit of words follows from the reference and the text's length: chance alone moves the histogram of a
 short text far, and a text without any common word lies no farther than the share of common words in the reference allows.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import cut, map_texts, table
 
 #: The signs that count as symbols, and the blanks that part words.
 SYMBOLS = "#*$%&|<>"
@@ -111,11 +111,10 @@ class Reference:
 
 @dataclass(frozen=True)
 class Rules:
-    """``short``: the longest word that may be a common word, in bytes. ``common``: common words by language.
+    """``common``: common words by language.
     ``least_chars`` and ``least_words``: below these a histogram says too little and is not compared. ``word_share``: how far
     words may lie beyond chance, as a share of the distance of a text without common words."""
 
-    short: int = 4
     common: int = 48
     least_chars: int = 200
     least_words: int = 50
@@ -137,7 +136,7 @@ def word_limits(counts: np.ndarray, rules: Rules, draws: int = 300) -> tuple[np.
 
 
 def learn_references(docs: DataFrame, rules: Rules, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
-    """Histograms of every language over all documents. Tasks send one row per language, class or short word."""
+    """Histograms of every language over all documents. Tasks send one row per language, class or word."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,7 +147,7 @@ def learn_references(docs: DataFrame, rules: Rules, text_col: str = "text", lang
                     classes[lang], words[lang] = np.zeros(len(CLASSES), dtype=np.int64), Counter()
                 classes[lang] += class_counts(text)
                 all_words = words_of(text)
-                words[lang].update([w for w in map(common_form, [w for w in all_words if len(w) <= rules.short + 2]) if len(w) <= rules.short])
+                words[lang].update(map(common_form, all_words))
                 words[lang][None] += len(all_words)
             rows = [(lang, k, b"", int(n)) for lang, c in classes.items() for k, n in enumerate(c)]
             rows += [(lang, -1 if w is None else -2, w or b"", n) for lang, c in words.items() for w, n in c.items()]
@@ -158,16 +157,17 @@ def learn_references(docs: DataFrame, rules: Rules, text_col: str = "text", lang
         return work
 
     parts = map_texts(docs, [F.coalesce(F.col(lang_col), F.lit(ALL)).alias("lang"), F.col(text_col)], make, "lang string, kind int, word binary, n long")
-    summed = parts.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    summed = cut(parts.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")))  # counted once for both uses
     both = summed.unionByName(summed.where(F.col("lang") != ALL).withColumn("lang", F.lit(ALL))).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    top = both.withColumn("rank", F.row_number().over(best)).where((F.col("kind") > -2) | (F.col("rank") <= rules.common))
+    ranked = both.where((F.col("kind") == -2) & (F.col("word") != F.lit(b""))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= rules.common)
+    top = both.where("kind > -2").withColumn("rank", F.lit(1)).unionByName(ranked)
     found: dict[str, dict[int, list]] = {}
     for r in top.select("lang", "kind", "word", "n", "rank").orderBy("rank").collect():  # by language: a row per class and common word
         found.setdefault(r.lang, {}).setdefault(r.kind, []).append((bytes(r.word), r.n))
     out = {}
     for lang, kinds in found.items():
-        common = [x for x in kinds.get(-2, []) if x[0]]
+        common = kinds.get(-2, [])
         total = kinds.get(-1, [(b"", 0)])[0][1]
         counts = np.array([n for _, n in common] + [max(0, total - sum(n for _, n in common))], dtype=float)
         out[lang] = Reference(np.array([kinds[k][0][1] if k in kinds else 0 for k in range(len(CLASSES))], dtype=float), {w: k for k, (w, _) in enumerate(common)}, counts, *word_limits(counts, rules))
@@ -180,7 +180,7 @@ def distances(text: str, words: list[bytes], reference: Reference, rules: Rules)
     if len(words) < rules.least_words:
         return by_class, 0.0
     counts = np.zeros(len(reference.counts))
-    hits = [reference.words[w] for w in map(common_form, [w for w in words if len(w) <= rules.short + 2]) if w in reference.words]
+    hits = [reference.words[w] for w in map(common_form, words) if w in reference.words]
     counts[:-1] = np.bincount(hits, minlength=len(counts) - 1)[: len(counts) - 1] if len(counts) > 1 else 0
     counts[-1] = len(words) - len(hits)
     return by_class, distance(counts, reference.counts)

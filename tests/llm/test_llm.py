@@ -368,6 +368,18 @@ def test_quality_rejects_wrong_language_and_wordless_texts(spark):
     assert all(found[i].kept for i, _, _ in unnamed) and np.mean([found[i].kept for i, _, _ in prose]) > 0.98
 
 
+def test_common_words_have_any_length(spark):
+    texts = {"de": "über einstweilen über einstweilen über der", "el": "όμως γιατί όμως γιατί όμως και", "th": "และก็ ทั้งหมด และก็ ทั้งหมด และก็ !"}
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    found = quality.learn_references(df, quality.Rules(common=2))
+    expected = {"de": ("über", "einstweilen"), "el": ("όμως", "γιατί"), "th": ("และก็", "ทั้งหมด")}
+    for lang, words in expected.items():
+        assert list(found[lang].words) == [w.encode() for w in words] and list(found[lang].counts[:2]) == [3, 2]
+        assert found[lang].counts.sum() == len(texts[lang].split())
+        near = quality.distances(texts[lang] * 20, quality.words_of(" ".join([texts[lang]] * 20)), found[lang], quality.Rules())
+        assert near[1] < 1e-6
+
+
 def test_toxicity(spark, odd):
     random = np.random.default_rng(6)
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
