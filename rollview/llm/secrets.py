@@ -2,7 +2,7 @@
 
 Base spans come from three patterns. The field tags tokens as begin, inside or outside of a secret. Its features are a
 token's shape, the words and shapes beside it, and features of the file; it is trained in numpy by maximum likelihood on a
-bounded sample of texts whose base spans serve as tags, and decoded by Viterbi. Its chains are the stretches of tokens
+bounded sample of chains of whole texts, whose base spans serve as tags, and decoded by Viterbi. Its chains are the stretches of tokens
 around those that could be a secret by their shape; tokens farther away are outside by definition. A span of the field is
 added where it meets no base span.
 
@@ -207,16 +207,39 @@ def tagged_chains(text: str) -> list[tuple[list[list[str]], list[int]]]:
     return out
 
 
-def fit_field(docs: DataFrame, with_spans: int = 1500, without: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> ChainField:
+def pieces(tokens: list, tags: list[int], longest: int = 64):
+    """A chain cut into parts of about ``longest`` tokens, never inside a span."""
+    start = 0
+    for i in range(1, len(tokens)):
+        if i - start >= longest and tags[i] != I:
+            yield tokens[start:i], tags[start:i]
+            start = i
+    yield tokens[start:], tags[start:]
+
+
+def fit_field(docs: DataFrame, with_spans: int = 1500, without: int = 1500, id_col: str = "doc_id", text_col: str = "text", chains: int = 10_000) -> ChainField:
     """Train on at most ``with_spans`` texts that the base patterns match and ``without`` that they don't, drawn by a hash
-    of their id; texts go to the driver up to those bounds, cut to 20,000 characters."""
+    of their id. Chains and tags come from the whole texts, on the executors; at most ``chains`` with a span and as many
+    without, drawn by a hash of their content, go to the driver."""
     text = F.col(text_col)
     hit = text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     drawn = cut(docs.where(text.isNotNull()).select(F.col(id_col).alias("__rv_id"), hit.alias("hit"), F.xxhash64(F.col(id_col), F.lit("field")).alias("o")))
     chosen = drawn.where("hit").orderBy("o", "__rv_id").limit(with_spans).unionByName(drawn.where("not hit").orderBy("o", "__rv_id").limit(without))
     bounded = F.broadcast(chosen.select("__rv_id").distinct())  # at most with_spans + without ids
-    texts = docs.join(bounded, F.col(id_col) == F.col("__rv_id"), "left_semi").select(F.substring(text, 1, 20_000).alias("text"))
-    return train_field([c for r in texts.orderBy(F.xxhash64("text")).limit(with_spans + without).collect() for c in tagged_chains(r.text)])
+    texts = docs.join(bounded, F.col(id_col) == F.col("__rv_id"), "left_semi")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [piece for t in batch.column(0).to_pylist() for chain in tagged_chains(t) for piece in pieces(*chain)]
+            columns = [pa.array([[" ".join(f) for f in tokens] for tokens, _ in found], pa.list_(pa.string())), pa.array([tags for _, tags in found], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["tokens", "tags"])
+
+        return work
+
+    rows = cut(map_texts(texts, [text], make, "tokens array<string>, tags array<int>").withColumn("o", F.xxhash64("tokens", "tags")))
+    tagged = F.exists("tags", lambda t: t != O)
+    sample = rows.where(tagged).orderBy("o").limit(chains).unionByName(rows.where(~tagged).orderBy("o").limit(chains))
+    return train_field([([t.split(" ") for t in r.tokens], list(r.tags)) for r in sample.orderBy("o").collect()])
 
 
 class Scanner:

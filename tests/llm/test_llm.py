@@ -325,6 +325,18 @@ def test_secrets(spark, odd):
     assert secrets.scan_secrets(odd, field).count() == odd.count() and secrets.scan_secrets(empty(odd), field).count() == 0
 
 
+def test_secrets_are_learnt_from_whole_texts(spark):
+    random = np.random.default_rng(3)
+    value = lambda: "".join(random.choice(list("0123456789abcdef"), 40))
+    rows = [(i, "some words here\n" * 1500 + f'and token = "{value()}" at the end') for i in range(12)]  # beyond 20,000 characters
+    field = secrets.fit_field(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert field.index and secrets.fit_field(spark.createDataFrame(rows, "doc_id long, text string"), chains=1).emit.shape != field.emit.shape
+    late = "some words here\n" * 1500 + f'and ticket = "{value().upper()}" at the end'
+    assert [late[a:b] for a, b, _ in secrets.Scanner(field)(late)[1]] == [late.split('"')[1]]
+    cut = list(secrets.pieces(list(range(200)), [secrets.B, *[secrets.I] * 99, *[secrets.O] * 100]))
+    assert [len(t) for t, _ in cut] == [100, 64, 36] and sum((t for t, _ in cut), []) == list(range(200))
+
+
 def test_viterbi_is_best_path():
     random = np.random.default_rng(4)
     field = secrets.ChainField({"a": 0, "b": 1, "c": 2}, random.normal(0, 1, (3, 3)), random.normal(0, 1, (3, 3)))
