@@ -2,9 +2,10 @@
 
 Base spans come from three patterns. The field tags tokens as begin, inside or outside of a secret. Its features are a
 token's shape, the words and shapes beside it, and features of the file; it is trained in numpy by maximum likelihood on a
-bounded sample of chains of whole texts, whose base spans serve as tags, and decoded by Viterbi. Its chains are the stretches of tokens
-around those that could be a secret by their shape; tokens farther away are outside by definition. A span of the field is
-added where it meets no base span.
+bounded sample of chains of whole texts, whose base spans serve as tags, and decoded by Viterbi over all tokens of a
+text. Most tokens can be shown to be outside on every best path from bounds of their scores, so only the stretches between
+them take steps. Chains for training are stretches of tokens around base spans, around those that could be a secret by their
+shape, and around every 128th token. A span of the field is added where it meets no base span.
 
 Defined results: null and empty texts have no spans; texts of any length are scanned whole; repeated rows give repeated
 results; a sample without base spans gives a field that adds none; an empty table gives an empty result; other columns are
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,6 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # what HEX finds leftmost, greedily, a
 #: What could be a secret by its shape: a digit or joining sign, or a long run.
 _SEED = re.compile(r"[0-9_+/=]+|[\w.-]{20,}")
 _TOKEN = re.compile(r"[\w+/.=-]+|[^\w\s]")
-_JOINED = re.compile(r"[\w+/.=-]")
 O, B, I = 0, 1, 2  # noqa: E741
 
 
@@ -51,39 +53,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def stretches(text: str, beside: int = 3) -> list[list[tuple[int, int]]]:
-    """Chains: (start, end) of the tokens within ``beside`` tokens of one that could be a secret."""
-    reach, windows = 200, []
-    for m in _SEED.finditer(text):
-        low, high = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if windows and low <= windows[-1][1]:
-            windows[-1][1] = high
-            windows[-1][2].append((m.start(), m.end()))
-        else:
-            windows.append([low, high, [(m.start(), m.end())]])
-    chains = []
-    for low, high, seeds in windows:
-        while low and _JOINED.match(text, low - 1):  # whole tokens, however long
-            low -= 1
-        while high < len(text) and _JOINED.match(text, high):
-            high += 1
-        tokens = [m.span() for m in _TOKEN.finditer(text, low, high)]
-        near, k = np.zeros(len(tokens), dtype=bool), 0
-        for i, (a, b) in enumerate(tokens):
-            while k < len(seeds) and seeds[k][1] <= a:
-                k += 1
-            if k < len(seeds) and seeds[k][0] < b:
-                near[max(0, i - beside) : i + beside + 1] = True
-        chain: list[tuple[int, int]] = []
-        for token, is_near in zip(tokens, near, strict=True):
-            if is_near:
-                chain.append(token)
-            elif chain:
-                chains.append(chain)
-                chain = []
-        if chain:
-            chains.append(chain)
-    return chains
+def stretches(text: str, spans: list[tuple[int, int]], beside: int = 3, every: int = 128) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of all tokens, and chains for training as (first, end) among them: tokens within ``beside`` of one that
+    could be a secret, that meets one of the sorted ``spans``, or that is one of ``every`` so many."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    near, k = np.zeros(len(tokens) + 2, dtype=bool), 0
+    for i, (a, b) in enumerate(tokens):
+        while k < len(spans) and spans[k][1] <= a:
+            k += 1
+        if i % every == 0 or (k < len(spans) and spans[k][0] < b) or _SEED.search(text, a, b):
+            near[max(0, i - beside) + 1 : min(len(tokens), i + beside + 1) + 1] = True
+    edges = np.flatnonzero(near[1:] != near[:-1])
+    return tokens, list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def shape(token: str) -> str:
@@ -98,20 +79,29 @@ def file_features(text: str) -> list[str]:
     return [f"signs{min(5, int(40 * signs / head))}", f"lines{min(5, text.count(chr(10)).bit_length())}"]
 
 
-def token_features(words: list[str], i: int, of_file: list[str]) -> list[str]:
-    w = words[i]
+#: Places of the words beside a token.
+BESIDE = (-2, -1, 1, 2)
+
+
+def own_features(w: str) -> list[str]:
     digits, upper = sum(c.isdigit() for c in w), sum(c.isupper() for c in w)
     letters = sum(c.isalpha() for c in w)
     kinds = len(set(w[:64]))
-    out = [
+    return [
         "bias", f"shape:{shape(w)}", f"size:{min(len(w) // 4, 12)}", f"mix:{bool(digits)}{bool(upper)}{letters > upper}",
         f"distinct:{min(kinds // 3, 8)}:{len(w) >= 16}", f"digits:{int(4 * digits / len(w))}:{len(w) >= 12}",
         f"hex:{len(w) >= 16 and all(c in '0123456789abcdefABCDEF' for c in w)}",
     ]
-    for step in (-2, -1, 1, 2):
-        at = words[i + step] if 0 <= i + step < len(words) else ""
-        out.append(f"{step}:{at.lower() if at.isalpha() and len(at) < 12 else shape(at)}")
-    return out + of_file
+
+
+def beside_form(w: str) -> str:
+    """What a token sees of a word beside it; "" beyond the text."""
+    return w.lower() if w.isalpha() and len(w) < 12 else shape(w)
+
+
+def token_features(words: list[str], i: int, of_file: list[str]) -> list[str]:
+    beside = [f"{step}:{beside_form(words[i + step] if 0 <= i + step < len(words) else '')}" for step in BESIDE]
+    return own_features(words[i]) + beside + of_file
 
 
 @dataclass
@@ -122,21 +112,49 @@ class ChainField:
     emit: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
     move: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
 
+    def score(self, features: Iterable[str]) -> np.ndarray:
+        return self.emit[[self.index[f] for f in features if f in self.index]].sum(axis=0)
+
     def decode(self, chain: list[list[str]]) -> list[int]:
         """The best sequence of tags, by Viterbi."""
-        scores = np.array([self.emit[[self.index[f] for f in token if f in self.index]].sum(axis=0) for token in chain])
+        return self.best_path(np.array([self.score(token) for token in chain]))
+
+    def best_path(self, scores: np.ndarray, after: bool = False, before: bool = False) -> list[int]:
+        """The best tags by Viterbi; ``after`` and ``before``: the tokens lie after, before one that is outside."""
         best, back = scores[0].copy(), []
+        if after:
+            best += self.move[O]
         best[I] = -np.inf
         for row in scores[1:]:
             step = best[:, None] + self.move
             step[O, I] = -np.inf
             back.append(step.argmax(axis=0))
             best = step.max(axis=0) + row
+        if before:
+            best = best + self.move[:, O]
         tags = [int(best.argmax())]
         for pointers in reversed(back):
             tags.append(int(pointers[tags[-1]]))
         return tags[::-1]
 
+    def tags(self, scores: np.ndarray) -> np.ndarray:
+        """The best tags of a whole text. A run of tokens that are not outside gains at most the sum of its tokens' bounds and
+        one for its end; a token that no run with a gain can hold is outside, and the rest is decoded between such."""
+        out, n = np.zeros(len(scores), dtype=np.int8), len(scores)
+        if not n:
+            return out
+        gain, stay = scores - scores[:, :1], self.move[O, O]
+        bound = np.maximum(gain[:, B] + self.move[:, B].max() - stay, gain[:, I] + self.move[[B, I], I].max() - stay)
+        bound[0] = max(bound[0], gain[0, B])
+        whole = np.cumsum(bound)
+        ahead = np.concatenate([[0.0], whole[:-1]])
+        most = np.maximum.accumulate(whole[::-1])[::-1] - np.minimum.accumulate(ahead)  # of all runs that hold the token
+        maybe = most + max(0.0, self.move[[B, I], O].max() - stay) > -1e-6
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], maybe, [False]])))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            out[a:b] = self.best_path(scores[a:b], a > 0, b < n)
+        return out
+
 
 def train_field(chains: list[tuple[list[list[str]], list[int]]], least: int = 3, steps: int = 80, rate: float = 0.1, penalty: float = 1e-3) -> ChainField:
     """Maximum likelihood with an L2 penalty, by Adam; chains of equal length go through forward-backward together."""
@@ -196,14 +214,15 @@ def tagged_chains(text: str) -> list[tuple[list[list[str]], list[int]]]:
     """Chains of a text with tags from its base spans, of whose tokens the value counts and not the name before it."""
     spans = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, b, k in base_spans(text) if k]
     out, of_file = [], file_features(text)
-    for chain in stretches(text):
-        words = [text[a:b] for a, b in chain]
+    tokens, chains = stretches(text, sorted(spans))
+    words = [text[a:b] for a, b in tokens]
+    for first, end in chains:
         tags, before = [], None
-        for a, b in chain:
+        for a, b in tokens[first:end]:
             own = next((k for k, (x, y) in enumerate(spans) if x < b and a < y), None)
             tags.append(O if own is None else I if own == before else B)
             before = own
-        out.append(([token_features(words, i, of_file) for i in range(len(words))], tags))
+        out.append(([token_features(words, i, of_file) for i in range(first, end)], tags))
     return out
 
 
@@ -245,25 +264,59 @@ def fit_field(docs: DataFrame, with_spans: int = 1500, without: int = 1500, id_c
 class Scanner:
     """All spans of a text: the base ones, and those of the field that meet none."""
 
-    def __init__(self, model: ChainField):
-        self.model = model
+    def __init__(self, model: ChainField, most: int = 200_000):
+        """Scores of a word, for its own place and those beside it, are kept; beyond ``most`` words they are dropped."""
+        self.model, self.most = model, most
+        self.number: dict[str, int] = {}
+        self.own: dict[tuple[str, ...], np.ndarray] = {}  # by features: few words differ in all of them
+        self.beside: dict[str, np.ndarray] = {}
+        for f, at in model.index.items():
+            step, _, form = f.partition(":")
+            if step in map(str, BESIDE):
+                k = 3 * BESIDE.index(int(step))
+                self.beside.setdefault(form, np.zeros(3 * len(BESIDE)))[k : k + 3] = model.emit[at]
+        self.known: np.ndarray = np.zeros((0, 3 * (1 + len(BESIDE))))
+
+    def scores(self, words: list[str], of_file: list[str]) -> np.ndarray:
+        """(words x tags) scores of all tokens of a text."""
+        if len(self.number) > self.most:
+            self.number, self.own, self.known = {}, {}, self.known[:0]
+        number, had = self.number, len(self.number)
+        ids = np.array([number.setdefault(w, len(number)) for w in ("", "", *words, "", "")], dtype=np.int64)
+        if len(number) > had:
+            new = list(islice(reversed(number), len(number) - had))[::-1]
+            rows = np.zeros((len(new), self.known.shape[1]))
+            for row, w in zip(rows, new, strict=True):
+                if w:
+                    features = tuple(own_features(w))
+                    if features not in self.own:
+                        self.own[features] = self.model.score(features)
+                    row[:3] = self.own[features]
+                if (seen := self.beside.get(beside_form(w))) is not None:
+                    row[3:] = seen
+            if len(number) > len(self.known):
+                self.known = np.concatenate([self.known[:had], np.zeros((max(had, len(new), 1024), rows.shape[1]))])
+            self.known[had : len(number)] = rows
+        n = len(words)
+        out = self.known[ids[2 : n + 2], :3] + self.model.score(of_file)
+        for k, step in enumerate(BESIDE, 1):
+            out += self.known[ids[2 + step : n + 2 + step], 3 * k : 3 * k + 3]
+        return out
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not self.model.index:
             return []
-        out, of_file = [], None
-        for chain in stretches(text):
-            of_file = file_features(text) if of_file is None else of_file
-            words = [text[a:b] for a, b in chain]
-            tags = self.model.decode([token_features(words, i, of_file) for i in range(len(words))])
-            spans: list[list[int]] = []
-            for (a, b), tag in zip(chain, tags, strict=True):
-                if tag == B:
-                    spans.append([a, b])
-                elif tag == I:
-                    spans[-1][1] = b
-            out += [(a, b, 3) for a, b in spans if not any(x < b and a < y for x, y, _ in base)]
-        return out
+        words = _TOKEN.findall(text)
+        tags = self.model.tags(self.scores(words, file_features(text))) if words else np.zeros(0)
+        if not tags.any():
+            return []
+        spans: list[list[int]] = []
+        for m, tag in zip(_TOKEN.finditer(text), tags.tolist(), strict=True):
+            if tag == B:
+                spans.append([*m.span()])
+            elif tag == I:
+                spans[-1][1] = m.end()
+        return [(a, b, 3) for a, b in spans if not any(x < b and a < y for x, y, _ in base)]
 
     def __call__(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = base_spans(text)

@@ -337,6 +337,26 @@ def test_secrets_are_learnt_from_whole_texts(spark):
     assert [len(t) for t, _ in cut] == [100, 64, 36] and sum((t for t, _ in cut), []) == list(range(200))
 
 
+def test_field_sees_all_tokens():
+    random = np.random.default_rng(5)
+    letters = lambda n: "".join(random.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), n))
+    train = [c for _ in range(150) for c in secrets.tagged_chains(f'some words here password: {letters(16)} and more words follow after it. The bearer came home.')]
+    field = secrets.train_field(train)
+    text = "some words here bearer QwErTyUiOpAsDfGh and more words follow after it"  # no digit, sign or long run anywhere
+    base, spans = secrets.Scanner(field)(text)
+    assert not base and [text[a:b] for a, b, _ in spans] == ["QwErTyUiOpAsDfGh"]
+    words = secrets._TOKEN.findall(text) * 3
+    slow = np.array([field.score(secrets.token_features(words, i, ["signs0"])) for i in range(len(words))])
+    scan = secrets.Scanner(field, most=4)
+    assert all(np.allclose(scan.scores(words, ["signs0"]), slow) for _ in range(3))
+    for seed in range(300):  # bounds leave the best path as it is
+        random = np.random.default_rng(seed)
+        field = secrets.ChainField({"a": 0}, np.zeros((1, 3)), random.normal(0, 2, (3, 3)))
+        scores = random.normal(0, 2, (40, 3)) + [random.uniform(0, 5), 0, 0]
+        total = lambda tags: sum(scores[i, t] for i, t in enumerate(tags)) + sum(field.move[x, y] for x, y in zip(tags, tags[1:], strict=False))  # noqa: B023, E731
+        assert abs(total(field.tags(scores).tolist()) - total(field.best_path(scores))) < 1e-6
+
+
 def test_viterbi_is_best_path():
     random = np.random.default_rng(4)
     field = secrets.ChainField({"a": 0, "b": 1, "c": 2}, random.normal(0, 1, (3, 3)), random.normal(0, 1, (3, 3)))
