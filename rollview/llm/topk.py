@@ -13,7 +13,7 @@ and the queries that meet it are both cut into blocks, and a task multiplies one
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are padded with
 zeros; ties go to the smaller id; repeated ids are rows of their own, so that a row never answers a query of its own id;
-fewer than k others give fewer rows; an empty table gives an empty result; other columns are not read.
+all rows of a query's id are searched, and its k results are the best of all their scores, as in the SQL; fewer than k others give fewer rows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -178,10 +178,10 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], settings: Se
     if built is None:
         return empty
     rows, index = built
-    queries = clean.where(is_query(F.col("id"))).dropDuplicates(["id"])
+    queries = clean.where(is_query(F.col("id")))
     many = queries.count()
     qparts = max(1, -(-many // s.queries))
-    queries = queries.withColumn("qpart", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(qparts)).cast("int"))
+    queries = queries.withColumn("qpart", F.pmod(F.xxhash64("id", "x", F.lit("q")), F.lit(qparts)).cast("int"))
     held = index.counts.ravel()
 
     def first(batches):

@@ -264,6 +264,21 @@ def test_top_k_ties_and_odd_vectors(spark):
     assert topk.top_k(empty(df), lambda i: i % 50 == 0).count() == 0
 
 
+def test_top_k_repeated_query_ids(spark, tmp_path):
+    random = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in random.normal(0, 1, 6)]) for i in range(1, 200) if i % 50]
+    for q in (50, 100, 150):  # a query id with several vectors, one of them twice
+        rows += [(q, [float(x) for x in random.normal(0, 1, 6)]) for _ in range(3)]
+    rows += [rows[-1], rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    for parts in (1, 7):
+        found = topk.top_k(df.repartition(parts), lambda i: i % 50 == 0, topk.Settings(pivots=5, rings=3, block=40, queries=3))
+        assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == sorted(con.sql(topk.ORACLE_SQL).fetchall())
+
+
 def cheapest(roles, costs):
     best = {chat.START: 0}
     for r in roles:
