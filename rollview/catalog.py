@@ -1,7 +1,7 @@
 """Query catalogue of the incremental engine over the driver's tables, with the SQL each query is compared with.
 
 The event stream is read as blocks of 100 events: block = event_id div 100 + 1, place in the block = event_id % 100, time =
-milliseconds of ts. Every query runs over its whole table.
+milliseconds of ts. Every query runs over its whole table, unless its SQL names the blocks it is about.
 """
 
 from __future__ import annotations
