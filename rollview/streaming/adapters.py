@@ -1,8 +1,8 @@
 """Continuous mode on Structured Streaming.
 
 ``run_blocks`` drives an engine from a stream of rows: each micro-batch holds whole blocks, becomes one ``ingest`` call, and
-is acknowledged once its changes are delivered. A replayed micro-batch is recognised by its blocks, so nothing is taken in
-twice. ``stream_reducer`` runs an ordered fold as keyed streaming state without the engine's undo.
+is acknowledged once its changes are delivered. A replayed block is recognised by its rows, so nothing is taken in twice;
+other rows of old blocks, such as the rest of a split block or a block after a fork, are an error. ``stream_reducer`` runs an ordered fold as keyed streaming state without the engine's undo.
 """
 
 from __future__ import annotations
@@ -20,16 +20,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.aggregates import ORDER
 from ..functions.types import spark_type
 from ..operators.reducers import ReducerPlan
+from ..plans.dataflow import typed_rows
 from ..plans.engine import ChangeBatch, Engine
 
 
+def known_blocks(engine: Engine, table: str, old: DataFrame) -> bool:
+    """Whether ``old`` holds whole blocks, row by row as the engine has them."""
+    held = engine.raw(table)
+    if held is None:
+        return False
+    given = typed_rows(old, engine.schema.tables[table].columns)
+    held = held.join(given.select("block_number").distinct(), "block_number", "left_semi").select(*given.columns)
+    return given.exceptAll(held).isEmpty() and held.exceptAll(given).isEmpty()
+
+
 def run_blocks(engine: Engine, stream: DataFrame, table: str, on_change: Callable[[ChangeBatch], Any], checkpoint: str, available_now: bool = True, **trigger: Any):
     """Start a query that feeds ``stream`` (rows with block_number and _row_index) into ``table``. A block must not be split
-    over micro-batches."""
+    over micro-batches: rows of old blocks that are no replay fail the query, as ``Engine.ingest`` rejects them."""
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.where(F.col("block_number") > engine.latest_block)  # a replay brings known blocks again
-        changes = engine.ingest({table: fresh})
+        latest = F.lit(engine.latest_block)
+        old = batch.where(F.col("block_number") <= latest)
+        if not old.isEmpty() and known_blocks(engine, table, old):  # a replay brings known blocks again
+            batch = batch.where(F.col("block_number") > latest)
+        changes = engine.ingest({table: batch})
         if changes is not None:
             on_change(changes)
             engine.ack(changes.sequence)

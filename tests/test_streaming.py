@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from rollview.plans.dataflow import Dataflow
@@ -38,6 +40,21 @@ def test_stream_of_blocks_is_exactly_once(spark, tmp_path):
     assert rows(engine.view("v")) == rows(whole)
 
 
+@pytest.mark.parametrize("late", [[(3, 4, "a", 1.0)], [(2, i, "ab"[i % 2], 9.0) for i in range(4)], [(2, 0, "a", 2.0)]])
+def test_stream_rejects_old_blocks_that_are_no_replay(spark, tmp_path, late):
+    """The rest of a split block, a replacement, and a part of a known block."""
+    source, sink = tmp_path / "in", SnapshotTable(spark, str(tmp_path / "sink"), "v", ["k"], ["s", "n"])
+    write_blocks(spark, source, range(1, 4))
+    engine = Engine.open(spark, DDL, str(tmp_path / "engine"))
+    start = lambda: run_blocks(engine, spark.readStream.schema(SCHEMA).parquet(str(source)), "t", sink.apply, str(tmp_path / "checkpoint"))
+    start().awaitTermination()
+    before = rows(engine.view("v"))
+    spark.createDataFrame(late, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+    with pytest.raises(StreamingQueryException, match="ingested already"):
+        start().awaitTermination()
+    assert rows(engine.view("v")) == before
+
+
 def test_stream_reducer(spark, tmp_path):
     ddl = DDL + "CREATE REDUCER r SOURCE t GROUP BY k STATE (s Float64 DEFAULT 0) WHEN row.x > 0 THEN SET state.s = state.s + row.x EMIT run = state.s END;"
     source = tmp_path / "in"
