@@ -60,8 +60,8 @@ SYMBOL_OF = dict(enumerate(byte_symbols()))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks by token from a rank file, or from the vocabulary of a byte-level BPE ``.json`` (its special tokens left
-    out: they are no merges, and texts that hold their names are ordinary texts)."""
+    """Ranks by token from a rank file, or from the vocabulary of a byte-level BPE ``.json`` (its added tokens left out:
+    they are no merges)."""
     if not path.endswith(".json"):
         with open(path, "rb") as lines:
             return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -72,8 +72,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(byte_of.__getitem__, t)): i for t, i in whole["model"]["vocab"].items() if t not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Ids of the tokens that a ``.json`` vocabulary adds to its merges; a rank file adds none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", [])
+    if odd := [x["content"] for x in added if x.get("lstrip") or x.get("rstrip") or x.get("single_word")]:
+        raise ValueError(f"added tokens that take blanks or stand alone are not known: {odd}")
+    return {x["content"]: x["id"] for x in added}
+
+
 class Encoder:
-    """Ids of whole texts.
+    """Ids of whole texts. Where a text holds the name of an added token, that is one id, and what lies between such names
+    is encoded piece by piece.
 
     Where a text has no two white-space characters in a row, the pattern's look-ahead for runs decides nothing, and a
     pattern without it, which the regex engine runs several times faster, gives the same matches.
@@ -86,6 +98,14 @@ class Encoder:
         self.whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         plain = pattern.replace(r"\s+(?!\S)|", "")
         self.plain = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ranks, special_tokens={})
+        self.added = read_added(path)
+        names = sorted(self.added, key=len, reverse=True)  # of names that begin together the longest counts
+        self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
 
     def __call__(self, text: str) -> list[int]:
+        if self.split and any(name in text for name in self.added):
+            return [i for k, part in enumerate(self.split(text)) for i in ([self.added[part]] if k % 2 else self._ordinary(part))]
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> list[int]:
         return (self.whole if _DOUBLE.search(text) else self.plain).encode_ordinary(text)
