@@ -6,9 +6,9 @@ cheapest way from one state of the automaton to another is a small matrix of cos
 matrices in (min, +), and a conversation's cheapest repair is found by dynamic programming over its turns.
 
 Turns are range-partitioned by conversation and turn and sorted; a task repairs the conversations that it holds whole. Of a
-conversation that crosses a task's edge it sends the stretch's matrix (sixteen numbers); the driver chains these, two at
-most per task, and tells each task the states that its stretch begins and ends in. So no conversation, however long, needs
-to fit in one task.
+conversation that crosses a task's edge it sends the stretch's matrix (sixteen numbers) and its turns' number; the driver
+chains these, two at most per task, and tells each task the states that its stretch begins and ends in and the turns before
+it. So no conversation, however long, needs to fit in one task.
 
 What comes out is one row per turn, and one per inserted turn, with the piece of rendered text that it adds: the pieces of
 a conversation, joined by position, are its rendering.
@@ -124,9 +124,9 @@ def piece(role: int, text: str, merged: bool, first: bool) -> str:
     return ("\n" if merged else ("" if first else CLOSE) + OPEN.format(ROLES[role - 1])) + text
 
 
-def _edges(turns: DataFrame, repair: Repair) -> dict[int, dict[int, tuple[int, int | None]]]:
+def _edges(turns: DataFrame, repair: Repair) -> dict[int, dict[int, tuple[int, int | None, int]]]:
     """For the conversations that cross tasks: by conversation and task, the states a stretch begins and ends in (None: the
-    end of the conversation)."""
+    end of the conversation), and the turns before it."""
 
     def matrices(batches):
         from pyspark import TaskContext
@@ -140,13 +140,13 @@ def _edges(turns: DataFrame, repair: Repair) -> dict[int, dict[int, tuple[int, i
                 else:
                     kept = [*kept[:1], (conv, roles)]
         task = TaskContext.get().partitionId()
-        rows = [{"task": task, "conv": c, "m": repair.matrix(roles).ravel().tolist()} for c, roles in kept]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("task", pa.int32()), ("conv", pa.int64()), ("m", pa.list_(pa.float64()))]))
+        rows = [{"task": task, "conv": c, "m": repair.matrix(roles).ravel().tolist(), "n": len(roles)} for c, roles in kept]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("task", pa.int32()), ("conv", pa.int64()), ("m", pa.list_(pa.float64())), ("n", pa.int64())]))
 
     by: dict[int, list] = {}
-    for r in sorted(turns.select("conv", "role").mapInArrow(matrices, "task int, conv long, m array<double>").collect(), key=lambda r: r.task):
+    for r in sorted(turns.select("conv", "role").mapInArrow(matrices, "task int, conv long, m array<double>, n long").collect(), key=lambda r: r.task):
         by.setdefault(r.conv, []).append(r)
-    out: dict[int, dict[int, tuple[int, int | None]]] = {}
+    out: dict[int, dict[int, tuple[int, int | None, int]]] = {}
     for conv, parts in by.items():
         if len(parts) < 2:
             continue
@@ -159,13 +159,14 @@ def _edges(turns: DataFrame, repair: Repair) -> dict[int, dict[int, tuple[int, i
             state = int((ahead[k] + np.array(parts[k].m).reshape(4, 4)[:, state]).argmin())
             ends.append(state)
         ends = ends[::-1]
-        out[conv] = {p.task: (START if k == 0 else ends[k - 1], None if k + 1 == len(parts) else ends[k]) for k, p in enumerate(parts)}
+        turns_before = [0, *np.cumsum([p.n for p in parts]).tolist()]
+        out[conv] = {p.task: (START if k == 0 else ends[k - 1], None if k + 1 == len(parts) else ends[k], turns_before[k]) for k, p in enumerate(parts)}
     return out
 
 
 def repair_chats(chats: DataFrame, costs: Costs = Costs(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, place, part, action, role, cost, piece): ``turn`` and ``place`` (rows before it in its task and
-    conversation) order the turns; ``part`` orders a turn (0) after the turns inserted before it (below 0) and before those
+    """(conv_id, turn, place, part, action, role, cost, piece): ``place`` (turns before it in its conversation) orders the
+    turns; ``part`` orders a turn (0) after the turns inserted before it (below 0) and before those
     at the conversation's end (above 0)."""
     repair = Repair(costs)
     order = ["conv", "turn_at", "role", "text"]
@@ -182,7 +183,7 @@ def repair_chats(chats: DataFrame, costs: Costs = Costs(), conv_col: str = "conv
 
         def settle(group: list[tuple]) -> list[tuple]:
             conv = group[0][0]
-            begin, end = crossing.get(conv, {}).get(task, (START, None))
+            begin, end, ahead = crossing.get(conv, {}).get(task, (START, None, 0))
             roles = [role_state(r) for _, _, r, _ in group]
             states, out, before = repair.states(roles, begin, end), [], begin
             merged = []
@@ -191,16 +192,17 @@ def repair_chats(chats: DataFrame, costs: Costs = Costs(), conv_col: str = "conv
                 before = s
             before = begin
             for k, ((_, turn, _, text), r, s) in enumerate(zip(group, roles, states, strict=True)):
+                at = ahead + k
                 added = [] if merged[k] else INSERTS[before, s]
                 first = begin == START and not k
                 for j, x in enumerate(added):
-                    out.append((conv, turn, k, j - len(added), "insert", ROLES[x - 1], costs.insert, piece(x, "", False, first and not j)))
+                    out.append((conv, turn, at, j - len(added), "insert", ROLES[x - 1], costs.insert, piece(x, "", False, first and not j)))
                 price = (0 if r == s else costs.relabel) + costs.merge * merged[k]
                 action = "+".join([*["merge"] * merged[k], *["relabel"] * (r != s)]) or "keep"
-                out.append((conv, turn, k, 0, action, ROLES[s - 1], price, piece(s, text, merged[k], first and not added)))
+                out.append((conv, turn, at, 0, action, ROLES[s - 1], price, piece(s, text, merged[k], first and not added)))
                 before = s
             if end is None:
-                out += [(conv, group[-1][1], len(group) - 1, 1 + j, "insert", ROLES[x - 1], costs.insert, piece(x, "", False, False)) for j, x in enumerate(ENDINGS[before])]
+                out += [(conv, group[-1][1], ahead + len(group) - 1, 1 + j, "insert", ROLES[x - 1], costs.insert, piece(x, "", False, False)) for j, x in enumerate(ENDINGS[before])]
                 out[-1] = (*out[-1][:-1], out[-1][-1] + CLOSE)
             return out
 

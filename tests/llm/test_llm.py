@@ -309,7 +309,7 @@ def test_chat_repair(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     for k, roles in talks.items():
         assert sum(r.cost for r in found[k]) == cheapest([chat.role_state(r) for r in roles], chat.Costs())
-        text = "".join(r.piece for r in sorted(found[k], key=lambda r: (r.turn, r.part)))
+        text = "".join(r.piece for r in sorted(found[k], key=lambda r: (r.place, r.part)))
         turns = re.findall(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", text, re.DOTALL)
         assert "".join(f"<|{a}|>\n{t}\n<|end|>\n" for a, t in turns) == text
         states = [chat.START, *(chat.ROLES.index(a) + 1 for a, _ in turns)]
@@ -318,6 +318,18 @@ def test_chat_repair(spark, parts):
     assert chat.repair_chats(empty(df)).count() == 0
 
 
+def test_chat_order_of_equal_turn_numbers(spark):
+    rows = [(1, 7, ("user", "assistant")[i % 2], f"t{i:03d}.", "x") for i in range(200)] + [(None, None, "user", None, "x")] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place string")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    found = [r for r in chat.repair_chats(df).collect() if r.conv_id == 1]
+    assert len({(r.place, r.part) for r in found}) == len(found) and {r.place for r in found} == set(range(200))
+    text = "".join(r.piece for r in sorted(found, key=lambda r: (r.place, r.part)))
+    roles = [x for x in re.findall(r"<\|(\w+)\|>", text) if x != "end"]
+    assert roles[0] == "user" and roles[-1] == "assistant" and all(a != b for a, b in zip(roles, roles[1:], strict=False))
+    assert sorted(re.findall(r"t\d+\.", text)) == [f"t{i:03d}." for i in range(200)]
+
+
 def test_secrets(spark, odd):
     texts = ['password = "hunter22x" and token: abc', "AKIA" + "A1" * 9 + " " + "0f" * 12, "Api_Key=abcdefg secret:'x'", *[t or "" for t in ODD]]
     for t in texts:
