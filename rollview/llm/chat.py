@@ -170,7 +170,7 @@ def repair_chats(chats: DataFrame, costs: Costs = Costs(), conv_col: str = "conv
     at the conversation's end (above 0)."""
     repair = Repair(costs)
     order = ["conv", "turn_at", "role", "text"]
-    rows = chats.select(id_key(conv_col).alias("conv"), id_key(turn_col).alias("turn_at"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = chats.select(id_key(chats, conv_col).alias("conv"), id_key(chats, turn_col).alias("turn_at"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sort = ["conv", "turn_at", F.asc_nulls_first("role"), "text"]
     turns = cut(rows.select(*order).repartitionByRange(shuffle_partitions(chats.sparkSession), *sort).sortWithinPartitions(*sort))
     crossing = _edges(turns, repair)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Stands for a null id inside an operator; it sorts before every other id.
+#: Stands for a null id inside an operator; it sorts before every other id, and a row with this very id counts as one without.
 NULL_ID = -(1 << 63)
 
 
@@ -19,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only where none is named (tests), make a temporary one."""
+    """Use the shared folder the cluster names; where none is named, make a temporary one if all runs on this machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollview-"))
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rollview-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,8 +41,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_key(column: str | Column) -> Column:
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(NULL_ID)).cast("long")
+def id_key(df: DataFrame, column: str) -> Column:
+    """The ids in ``column`` as longs, null ones as :data:`NULL_ID`. Ids are integers: others are an error, before any job."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{column!r} must hold integer ids, not {kind.simpleString()}")
+    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_1``, ``name_2``, ... that no column of ``df`` has."""
+    have, names = {c.lower() for c in df.columns}, (f"{name}_{k}" if k else name for k in range(len(df.columns) + 1))
+    return next(n for n in names if n.lower() not in have)
 
 
 def id_back(column: str | Column) -> Column:

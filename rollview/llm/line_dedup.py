@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_key, map_texts, shuffle_partitions, slices, table
+from .common import cut, id_key, map_texts, shuffle_partitions, slices, table, unused
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -56,7 +56,7 @@ def _rows(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFr
         return work
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return map_texts(docs, [id_key(id_col).alias("doc"), F.xxhash64(text).alias("version"), text], make, "h1 long, h2 long, doc long, version long, pos int, n_lines int")
+    return map_texts(docs, [id_key(docs, id_col).alias("doc"), F.xxhash64(text).alias("version"), text], make, "h1 long, h2 long, doc long, version long, pos int, n_lines int")
 
 
 def _runs(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray):
@@ -172,10 +172,11 @@ def kept_text(text: str, bitmap: bytes | None) -> str:
 
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the columns of their bitmaps under names of their own, in a struct."""
-    inner = bitmaps.select(F.struct("doc", "version").alias("__rv_key"), F.struct("n_dropped", "bitmap").alias("__rv_lines"))
-    key = F.struct(id_key(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
-    return docs.withColumn("__rv_key", key).join(inner, "__rv_key", "left").drop("__rv_key")
+    """``docs`` and, in a last column, a struct of what is known of their lines (null: all stay)."""
+    own, lines = unused(docs, "key"), unused(docs, "lines")
+    inner = bitmaps.select(F.struct("doc", "version").alias(own), F.struct("n_dropped", "bitmap").alias(lines))
+    key = F.struct(id_key(docs, id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
+    return docs.withColumn(own, key).join(inner, own, "left").select(*(F.col(f"`{c}`") for c in (*docs.columns, lines)))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +214,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return work
 
-    return map_texts(joined, [F.col("doc_id"), F.col("__rv_lines"), F.col("text")], make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_texts(joined, [F.col("doc_id"), F.col(joined.columns[-1]), F.col("text")], make, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 ORACLE_SQL = f"""

@@ -242,10 +242,10 @@ def fit_field(docs: DataFrame, with_spans: int = 1500, without: int = 1500, id_c
     without, drawn by a hash of their content, go to the driver."""
     text = F.col(text_col)
     hit = text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    drawn = cut(docs.where(text.isNotNull()).select(F.col(id_col).alias("__rv_id"), hit.alias("hit"), F.xxhash64(F.col(id_col), F.lit("field")).alias("o")))
-    chosen = drawn.where("hit").orderBy("o", "__rv_id").limit(with_spans).unionByName(drawn.where("not hit").orderBy("o", "__rv_id").limit(without))
-    bounded = F.broadcast(chosen.select("__rv_id").distinct())  # at most with_spans + without ids
-    texts = docs.join(bounded, F.col(id_col) == F.col("__rv_id"), "left_semi")
+    drawn = cut(docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), hit.alias("hit"), F.xxhash64(F.col(id_col), F.lit("field")).alias("o")))
+    chosen = drawn.where("hit").orderBy("o", "id").limit(with_spans).unionByName(drawn.where("not hit").orderBy("o", "id").limit(without))
+    bounded = F.broadcast(chosen.select("id").distinct())  # at most with_spans + without ids
+    texts = docs.select(F.col(id_col).alias("id"), text).join(bounded, "id", "left_semi")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

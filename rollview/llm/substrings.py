@@ -151,7 +151,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc", "version", "zipped"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_key(id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(zip_, "doc long, version long, zipped binary")
+    return docs.select(id_key(docs, id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(zip_, "doc long, version long, zipped binary")
 
 
 def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
@@ -198,7 +198,7 @@ def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_key(id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
+    return docs.select(id_key(docs, id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
 
 
 def _shared(anchors: DataFrame, parts: int) -> DataFrame:
