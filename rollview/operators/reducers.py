@@ -6,7 +6,7 @@ Three ways to run one, cheapest first:
 2. Rules whose state fields are running sums, or last values, of expressions over the row alone are window aggregates.
    Windows are per key and block and start from a small table of what earlier blocks leave, so a key that holds most rows
    still spreads over its blocks.
-3. Everything else is a Python fold per key, fed in order through Arrow.
+3. Everything else is a Python fold per key, streamed in order through Arrow: a task holds one key's state, never its rows.
 
 Rows out carry the order columns of the row they come from, and ``_emit_index``. Rows in must have ``block_number``,
 ``_row_index`` and ``_emit_index``.
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,60 +311,167 @@ class ReducerPlan:
         return self._project(running), snapshots
 
     # 3: a fold
-    def _fold(self, rows: DataFrame, states: DataFrame | None) -> DataFrame:
+    def _fold(self, rows: DataFrame, states: DataFrame | None, wants: str = "both") -> DataFrame:
+        """What the fold emits, and after each block of a key a row with its state as JSON, or one of the two (``wants``:
+        emits, states, both). Rows are dealt by key and sorted; a task streams them and holds one key's state at a time."""
         keys, process, defaults, order = list(self.reducer.group_by), self.process, self.defaults(), list(ORDER)
-        types, name, wanted = self.out_types(), self.reducer.name, [c for c in self.types if c in rows.columns]
-        json_fields = {f.name for f in self.reducer.state if f.type == "JSON"}
-
-        def fold(held: pd.DataFrame | None, group: pd.DataFrame) -> pd.DataFrame:
-            state = dict(json.loads(json.dumps(defaults, default=_bytes_out)) if json_fields else defaults)
-            if held is not None and len(held):
-                state.update(json.loads(held[STATE_JSON].iloc[0]))
-            if not len(group):
-                return pd.DataFrame(columns=[*types, *order, STATE_JSON])
-            group = group.sort_values(order, kind="stable")
-            columns = {c: [None if v is pd.NA or v is pd.NaT or v is None else v for v in group[c].astype(object)] for c in wanted}
-            blocks, places = group["block_number"].tolist(), group["_row_index"].tolist()
-            out: list[tuple] = []
-            for i in range(len(group)):
-                row = {c: v[i] for c, v in columns.items()}
-                row["block_number"] = blocks[i]
-                try:
-                    emitted = list(process(state, row))
-                except Exception as error:
-                    raise ReducerError(f"reducer {name!r}, block {blocks[i]}: {error}") from error
-                for k, e in enumerate(emitted):
-                    out.append((*(_plain(e.get(c, row.get(c))) if c in keys else _plain(e.get(c)) for c in types), blocks[i], places[i], k, None))
-                if i + 1 == len(group) or blocks[i + 1] != blocks[i]:
-                    out.append((*(row.get(c) if c in keys else None for c in types), blocks[i], -1, -1, json.dumps(state, default=_bytes_out)))
-            return pd.DataFrame(out, columns=[*types, *order, STATE_JSON], dtype=object)
-
+        types, name, reads = self.out_types(), self.reducer.name, getattr(process, "reads", None)
+        wanted = [c for c in self.types if c in rows.columns and c != "block_number" and (reads is None or c in reads or c in keys)]
+        emits, snapshots, by_block = wants != "states", wants != "emits", getattr(process, "by_block", False)
+        initial = json.dumps(defaults, default=_bytes_out) if any(f.type == "JSON" for f in self.reducer.state) else None
+        rows = rows.select(*dict.fromkeys([*keys, *wanted, *order]))
+        if states is not None:  # of the keys that have rows; they come before all rows of their key
+            known = rows.select(*keys).distinct()
+            on = [F.col(f"s.`{k}`").eqNullSafe(F.col(f"k.`{k}`")) for k in keys]
+            held = states.alias("s").join(known.alias("k"), on, "left_semi").select(*keys, STATE_JSON, F.lit(_FIRST).alias("block_number"))
+            rows = rows.withColumn(STATE_JSON, F.lit(None).cast("string")).unionByName(held, allowMissingColumns=True)
+        else:
+            rows = rows.withColumn(STATE_JSON, F.lit(None).cast("string"))
         fields = [T.StructField(c, spark_type(t)) for c, t in types.items()] + [T.StructField(c, T.LongType()) for c in order] + [T.StructField(STATE_JSON, T.StringType())]
         schema = T.StructType(fields)
-        rows = rows.select(*dict.fromkeys([*keys, *wanted, *order]))
-        if states is None:
-            return rows.groupBy(*keys).applyInPandas(lambda group: fold(None, group), schema)
-        return states.select(*keys, STATE_JSON).groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(fold, schema)
 
-    def run(self, rows: DataFrame, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        def fresh() -> dict:
+            return json.loads(initial) if initial else dict(defaults)
+
+        def run(batches):
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            arrow, out = to_arrow_schema(schema), _Rows(len(fields))
+            key, block, state, group = None, None, None, []
+
+            def emitted(row: dict, place: int, found: Iterable[dict], first: int = 0) -> int:
+                for e in found:
+                    out.add([*(e.get(c, row.get(c)) if c in keys else e.get(c) for c in types), block, place, first, None])
+                    first += 1
+                return first
+
+            def settle() -> None:
+                """The end of a key's block."""
+                if block is None:
+                    return
+                if group:
+                    for k, found in enumerate(_failing(lambda: list(process(state, [r for r, _ in group])), name, block)):
+                        row, place = group[min(k, len(group) - 1)]
+                        if emits:
+                            emitted(row, place, [found], max(0, k - len(group) + 1))
+                    group.clear()
+                if snapshots:
+                    out.add([*(own.get(c) for c in types), block, -1, -1, json.dumps(state, default=_bytes_out)])
+
+            own: dict = {}
+            for batch in batches:
+                columns = {f: batch.column(f).to_pylist() for f in batch.schema.names}
+                held_json, blocks, places = columns.pop(STATE_JSON), columns.pop("block_number"), columns.pop("_row_index")
+                columns.pop("_emit_index")
+                names, values = [*columns], zip(*columns.values(), strict=True) if columns else ((),) * len(blocks)
+                key_values = zip(*(columns[k] for k in keys), strict=True) if keys else ((),) * len(blocks)
+                for now, at, place, row_values, held in zip(key_values, blocks, places, values, held_json, strict=True):
+                    if now != key or state is None:
+                        settle()
+                        key, block, state, own = now, None, fresh(), dict(zip(keys, now, strict=True))
+                    if held is not None:
+                        state.update(json.loads(held))
+                        continue
+                    if at != block:
+                        settle()
+                        block = at
+                    row = dict(zip(names, row_values, strict=True))
+                    row["block_number"] = at
+                    if by_block:
+                        group.append((row, place))
+                        continue
+                    try:
+                        found = process(state, row)
+                    except Exception as error:
+                        raise ReducerError(f"reducer {name!r}, block {at}: {error}") from error
+                    if emits:
+                        emitted(row, place, found)
+                    else:
+                        for _ in found:  # a generator's effects on the state
+                            pass
+                if len(out) > 20_000:
+                    yield out.batch(arrow)
+            settle()
+            if len(out):
+                yield out.batch(arrow)
+
+        # few bytes and much work: a stated number of partitions is not merged into fewer
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(parts, *keys) if keys else rows.coalesce(1)
+        return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+    def run(self, rows: DataFrame, states: DataFrame | None = None, write: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> tuple[DataFrame, DataFrame | None]:
         """(emitted rows, snapshots: keys, block_number and ``_state`` as JSON after each block of a key; None if the
-        reducer has no state). ``states`` has each key's state before the first row; keys without one start anew."""
+        reducer has no state). ``states`` has each key's state before the first row; keys without one start anew. ``write``
+        stores a fold's rows and reads them again, those without and those with a state, so that it runs once for both; without
+        it each result that is used runs the fold, and emitted rows make no snapshots."""
         tier = self.tier()
         if tier == 1:
             return self._project(rows), None
         if tier == 2:
             return self._scan(rows, states)
-        both = self._fold(rows, states)
-        keys = list(self.reducer.group_by)
-        return both.where(F.col(STATE_JSON).isNull()).drop(STATE_JSON), both.where(F.col(STATE_JSON).isNotNull()).select(*keys, "block_number", STATE_JSON)
+        emitted, held = write(self._fold(rows, states)) if write is not None else (self._fold(rows, states, "emits"), self._fold(rows, states, "states"))
+        return emitted.drop(STATE_JSON), held.select(*self.reducer.group_by, "block_number", STATE_JSON)
 
 
-def _bytes_out(x: Any) -> Any:
-    return x.hex() if isinstance(x, (bytes, bytearray)) else x.item() if hasattr(x, "item") else str(x)
+#: The block number of a key's state among its rows.
+_FIRST = -(1 << 63)
+
+
+def _failing(run: Callable, name: str, block: int) -> Any:
+    try:
+        return run()
+    except Exception as error:
+        raise ReducerError(f"reducer {name!r}, block {block}: {error}") from error
+
+
+class _Rows:
+    """Rows on their way to Arrow."""
+
+    def __init__(self, width: int):
+        self.columns: list[list] = [[] for _ in range(width)]
 
+    def __len__(self) -> int:
+        return len(self.columns[0])
 
-def _plain(x: Any) -> Any:
-    return json.dumps(x) if isinstance(x, (dict, list)) else x
+    def add(self, values: list) -> None:
+        for column, value in zip(self.columns, values, strict=True):
+            column.append(value)
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        """All rows so far, which are dropped here."""
+        columns, self.columns = self.columns, [[] for _ in self.columns]
+        return pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError, OverflowError):
+        return pa.array([_cell(v, kind) for v in values], kind)
+
+
+def _cell(value: Any, kind: pa.DataType) -> Any:
+    """A value that code emitted as its column's type; null if it is none of that type."""
+    if hasattr(value, "item"):
+        value = value.item()
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return value if value is None or isinstance(value, str) else json.dumps(value, default=_bytes_out) if isinstance(value, (dict, list)) else str(value)
+    if pa.types.is_boolean(kind):
+        return value if isinstance(value, bool) else None
+    if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return bytes(value) if isinstance(value, (bytes, bytearray)) else value.encode() if isinstance(value, str) else None
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return None
+    if pa.types.is_integer(kind):
+        return int(value) if value == value and abs(value) < 1 << 63 else None
+    return float(value)
+
+
+def _bytes_out(x: Any) -> Any:
+    if hasattr(x, "plain"):  # a script's table
+        return x.plain()
+    return x.hex() if isinstance(x, (bytes, bytearray)) else x.item() if hasattr(x, "item") else str(x)
 
 
 def state_at(snapshots: DataFrame, keys: list[str], block: int | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ def plans_of(schema: Schema, code: dict[str, tuple[Process, tuple[Named, ...]]])
         if process is None and isinstance(r.body, Script):
             from ..functions.scripts import compile_script
 
-            process, emits = compile_script(r, types[r.source], [schema.modules[m] for m in r.requires])
+            process, emits = compile_script(r, types[r.source], [schema.modules[m] for m in r.requires], emits)
         reducers[r.name] = ReducerPlan(r, types[r.source], emits, process)
         types[r.name] = {"block_number": "UInt64"} | reducers[r.name].out_types()
     for v in schema.views.values():

@@ -290,10 +290,20 @@ class Engine:
                 continue
             held = self._read(after, f"snapshots/{r.name}", "block_number")
             states = state_at(held, list(r.group_by)) if held is not None else None
-            out, snapshots = reducers[r.name].run(new[r.source], states)
-            emitted = [c for c in out.columns if c != STATE_JSON]
-            new[r.name] = timed(f"reducer {r.name}", lambda r=r, out=out, emitted=emitted: keep(f"emits/{r.name}", out.select(emitted), "block_number"))
-            if snapshots is not None:
+            folded = False
+
+            def write(both: DataFrame, r=r) -> tuple[DataFrame, DataFrame]:
+                nonlocal folded
+                folded = True
+                kind = F.when(F.col(STATE_JSON).isNull(), "emits").otherwise("snapshots")
+                parts = timed(f"reducer {r.name}", lambda: self.store.write_parts(both, kind, ("emits", "snapshots"), r.name, tag))
+                for name, segment in parts.items():
+                    after.segments.setdefault(f"{name}/{r.name}", []).append(segment)
+                return tuple(self.store.read([parts[name]], "block_number") for name in ("emits", "snapshots"))
+
+            out, snapshots = reducers[r.name].run(new[r.source], states, write)
+            new[r.name] = out if folded else timed(f"reducer {r.name}", lambda r=r, out=out: keep(f"emits/{r.name}", out, "block_number"))
+            if snapshots is not None and not folded:
                 timed(f"state {r.name}", lambda r=r, snapshots=snapshots: keep(f"snapshots/{r.name}", snapshots, "block_number"))
         for name, plan in views.items():
             log = timed(f"mv {name}", lambda name=name, plan=plan: self._view_changes(name, plan, after, new.get(plan.view.source), fork, keep))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,15 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return Segment(path)
 
+    def write_parts(self, df: DataFrame, kind: Column, kinds: tuple[str, ...], name: str, tag: str) -> dict[str, Segment]:
+        """One write of rows of several kinds; a segment for each of ``kinds``."""
+        path, empty = f"{self.home}/folds/{name}/{tag}", df.sparkSession.createDataFrame([], df.schema)
+        df.withColumn("_kind", kind).write.mode("overwrite").partitionBy("_kind").parquet(path)
+        for k in kinds:
+            if not self._fs.exists(self._path(f"{path}/_kind={k}")):
+                empty.write.parquet(f"{path}/_kind={k}")
+        return {k: Segment(f"{path}/_kind={k}") for k in kinds}
+
     def read(self, segments: list[Segment], block: str) -> DataFrame | None:
         """All rows of segments that count. Segments with the same limit are one scan."""
         by_limit: dict[int | None, list[str]] = {}
