@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over word features is trained in numpy from confirmed toxic texts and unlabelled ones. With class prior
+A linear model over word features is trained in numpy from confirmed toxic texts and unlabelled ones, both drawn from the rows
+that have labels, so that the class prior holds for the latter. With class prior
 ``p`` the risk of scorer g is p * E+[loss(g)] + max(0, Eu[loss(-g)] - p * E+[loss(-g)]): the unlabelled texts stand for the
 negatives after their share of positives is taken out, and the estimate is kept from going below zero, where training would
 start to fit single unlabelled texts. With the logistic loss g is a log-odds, so its sigmoid is the score.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import cut, map_texts, slices, table
 from .tokens import Memo
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -54,7 +55,7 @@ def _held_out(column: str):
 
 @dataclass(frozen=True)
 class Settings:
-    """``positives`` and ``unlabelled`` bound the training sample (texts, drawn by a hash of their id); ``most`` bounds the
+    """``positives`` and ``unlabelled`` bound the training sample (labelled rows, drawn by a hash of their id); ``most`` bounds the
     features; ``least`` and ``z`` are the positives that hold a feature and the z-score that it needs at least."""
 
     positives: int = 4000
@@ -112,18 +113,18 @@ def train_nnpu(positive: list[list[int]], unlabelled: list[list[int]], n: int, p
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from the rows of ``labels`` and ``docs`` that are not held out; the class prior is the labelled share of
-    positives among them."""
-    known = labels.where(~_held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    totals = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("__y") == 1).cast("long")).alias("p")).first()
+    """Learn from the rows of ``labels`` that are not held out: the positive ones, and all of them with their labels unseen as
+    the unlabelled texts. The class prior is the share of positives among them."""
+    rows = labels.where(~_held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    totals = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("p")).first()
     if not totals.p:
         return Model()
-    prior = min(0.5, totals.p / totals.n)
-    shuffled = F.xxhash64(F.col(id_col), F.lit("sample"))
-    texts = docs.where(~_held_out(id_col)).select(id_col, F.col(text_col).alias("text"))
-    positive = texts.join(known.where("__y = 1").orderBy(shuffled, id_col).limit(settings.positives).select(id_col), id_col, "left_semi")
-    chosen = docs.select(id_col).where(~_held_out(id_col)).orderBy(shuffled, id_col).limit(settings.unlabelled)
-    sample = positive.select(F.lit(1).alias("y"), "text").unionByName(texts.join(chosen, id_col, "left_semi").select(F.lit(0).alias("y"), "text"))
+    prior = min(totals.p / totals.n, 1 - 0.5 / totals.n)  # where all are positive, not quite 1
+    draw = lambda rows, most, y: rows.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most).select("id", F.lit(y).alias("y"))
+    chosen = draw(known.where("y = 1"), settings.positives, 1).unionByName(draw(known, settings.unlabelled, 0))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most positives + unlabelled rows
+    sample = texts.groupBy("id", "y").agg(F.min("text").alias("text"))  # of an id with several texts, one
 
     def words():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
 
         return work
 
-    bags = map_texts(sample, [F.col("y"), F.col("text")], words, "y int, bag string")
+    bags = cut(map_texts(sample, [F.col("y"), F.col("text")], words, "y int, bag string"))
 
     def count(batches):
         sides = (Counter(), Counter())
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
                 out.append([LEVELS * k + j for k, n in counts.items() for j in levels(n, len(words))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "on"])
 
-    rows = bags.mapInArrow(numbers, "y int, on array<int>").collect()  # bounded by the sample
+    rows = bags.mapInArrow(numbers, "y int, on array<int>").collect()  # at most positives + unlabelled rows
     theta, bias = train_nnpu([r.on for r in rows if r.y], [r.on for r in rows if not r.y], LEVELS * len(index), prior, settings)
     return Model(index, theta.reshape(-1, LEVELS), bias)
 
@@ -189,8 +190,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
 
     def keep(batches):
         score = model.scorer()
-        for batch in batches:
-            yield batch.filter(pa.array([score(t or "") < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, place):
+                yield batch.filter(pa.array([score(t or "") < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
