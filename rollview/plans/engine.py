@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -25,7 +25,7 @@ from ..ddl.parser import parse, validate
 from ..errors import InvalidOperation, PendingAck, Poisoned, RollbackError, WrongAckSequence
 from ..operators import changes
 from ..operators.reducers import STATE_JSON, Process, state_at
-from ..sources.manifest import Manifest, Store
+from ..sources.manifest import Manifest, Segment, Store
 from ..sources.rows import host_rows
 from .dataflow import plans_of, typed_rows
 
@@ -47,15 +47,30 @@ class ChangeBatch:
     perf: list[tuple[str, float]] = field(default_factory=list)
 
 
+class BlockProcess:
+    """Code that takes a key's rows of a block at once."""
+
+    by_block = True
+
+    def __init__(self, process: Callable[[list[dict]], list[dict]]):
+        self.process = process
+
+    def __call__(self, state: dict, rows: list[dict]) -> list[dict]:
+        (out,) = self.process([{"state": dict(state), "rows": rows}])
+        state.clear()
+        state.update(out["state"])
+        return out.get("emits", [])
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, schema: Schema | str, data_dir: str, code: dict[str, tuple[Process, tuple[Named, ...]]] | None = None, compact_after: int = 16):
+    def __init__(self, spark: SparkSession, schema: Schema | str, data_dir: str, code: dict[str, tuple[Process, tuple[Named, ...]]] | None = None, compact_after: int = 16, max_buffer: int = 1000):
         self.spark = spark
         self.schema = parse(schema) if isinstance(schema, str) else validate(schema)
         self.code = dict(code or {})
-        self.compact_after = compact_after
+        self.compact_after, self.max_buffer = compact_after, max_buffer
         self.store = Store(spark, data_dir)
         self.manifest = self.store.read_manifest()
-        self._pending: tuple[int, Manifest] | None = None
+        self._pending: tuple[int, Manifest, ChangeBatch] | None = None
         self._pending_count = 0
         self._poisoned = False
         self._plans: tuple | None = None
@@ -98,8 +113,13 @@ class Engine:
         """Blocks in the batch that waits for its acknowledgement."""
         return self._pending_count
 
-    def is_backpressured(self, most: int = 1000) -> bool:
-        return self._pending_count >= most
+    @property
+    def pending_batch(self) -> ChangeBatch | None:
+        """The batch that waits for its acknowledgement, for another delivery."""
+        return self._pending[2] if self._pending else None
+
+    def is_backpressured(self, most: int | None = None) -> bool:
+        return self._pending_count >= (self.max_buffer if most is None else most)
 
     def has_reducer(self, name: str) -> bool:
         return name in self.schema.reducers
@@ -117,13 +137,51 @@ class Engine:
             raise InvalidOperation(f"reducer {name!r} has a callback already")
         self.code[name], self._plans = (process, tuple(emits)), None
 
-    def register_reducer(self, reducer: Reducer) -> None:
-        """Add a reducer over a raw table after the schema was read."""
+    def register_batch_callback(self, name: str, process: Callable[[list[dict]], list[dict]], emits: Iterable[Named]) -> None:
+        """Attach code that gets a block's rows at once: ``[{"state": ..., "rows": [...]}]`` gives ``[{"state": ..., "emits":
+        [...]}]``, one entry per key. The k-th emitted row belongs to the block's k-th row, those beyond to its last."""
+        self.register_callback(name, BlockProcess(process), emits)
+
+    def register_reducer(self, reducer: Reducer) -> ChangeBatch | None:
+        """Add a reducer over a raw table after the schema was read. The rows stored so far are replayed into it."""
         if reducer.name in self.schema.reducers or reducer.name in self.schema.tables or reducer.name in self.schema.views:
             raise InvalidOperation(f"{reducer.name!r} is there already")
         if reducer.source not in self.schema.tables or not isinstance(reducer.body, Native):
             raise InvalidOperation("a reducer added later reads a raw table and is a Python function")
         self.schema.reducers[reducer.name], self._plans = reducer, None
+        return self.replay(reducer.name)
+
+    def replay(self, name: str) -> ChangeBatch | None:
+        """Work out a reducer, and the reducers and views that read it, from all stored rows: for one that the rows so far never
+        reached, because it or its code is new. Returns what that changes in its views."""
+        self._gate()
+        if name not in self.schema.reducers:
+            raise InvalidOperation(f"unknown reducer {name!r}")
+        _, views = self._dag()
+        order, wanted = self.schema.reducer_order(), {name}
+        for r in order:  # after their sources
+            if r.source in wanted:
+                wanted.add(r.name)
+        read = {v for v, plan in views.items() if plan.view.source in wanted}
+        after, tag = self.manifest.copy(), uuid.uuid4().hex
+        stale = {f"{kind}/{n}" for kind, names in (("emits", wanted), ("snapshots", wanted), ("partials", read), ("times", read)) for n in names}
+        after.segments = {k: v for k, v in after.segments.items() if k not in stale}
+        source = self.schema.reducers[name].source
+        rows = self._read(self.manifest, f"raw/{source}" if source in self.schema.tables else f"emits/{source}", "block_number")
+        if rows is None:
+            return None
+        new, logs = {source: rows}, {}
+        for r in order:
+            if r.name in wanted:
+                new[r.name] = self._reduce(r, new[r.source], after, tag, None)
+        for v in read:
+            plan = views[v]
+            after.segments[f"partials/{v}"] = [self.store.write(plan.partials(new[plan.view.source]), f"partials/{v}", tag)]
+            if plan.view.sliding:
+                after.segments[f"times/{v}"] = [self.store.write(plan.block_times(new[plan.view.source]), f"times/{v}", tag)]
+            then, now = self._view(self.manifest, v), self._view(after, v)
+            logs[v] = changes.diff(now.limit(0) if then is None else then, now, plan.keys, plan.values)
+        return self._deliver(after, logs, tag, [])
 
     def _dag(self):
         if self._plans is None:
@@ -200,7 +258,7 @@ class Engine:
         after = self.manifest.copy()
         after.cut(cursor.number)
         after.hashes |= {str(c.number): c.hash for c in chain if c.number <= cursor.number}
-        return cursor, self._finish(after, {}, cursor.number)
+        return cursor, self._finish(after, {}, cursor.number, uuid.uuid4().hex)
 
     def _check_depth(self, fork: int) -> None:
         if fork < self.manifest.finalized:
@@ -233,13 +291,15 @@ class Engine:
         if fork is not None:
             self._check_depth(fork)
             after.cut(fork)
-        rows = {}
+        rows, bounds, tag = {}, {}, uuid.uuid4().hex
         for name in sorted(data):
             table = self.schema.tables[name]
             given = data[name]
-            rows[name] = typed_rows(given, table.columns) if isinstance(given, DataFrame) else host_rows(self.spark, table, given)
-        bounds = {n: df.agg(F.min("block_number"), F.max("block_number")).first() for n, df in rows.items()}
-        rows = {n: df for n, df in rows.items() if bounds[n][0] is not None}
+            typed = typed_rows(given, table.columns) if isinstance(given, DataFrame) else host_rows(self.spark, table, given)
+            segment = self.store.write(typed, f"raw/{name}", tag)  # once: all that follows reads what was written
+            found = self.store.read([segment], "block_number").agg(F.min("block_number"), F.max("block_number")).first()
+            if found[0] is not None:
+                rows[name], bounds[name] = segment, found
         if rows:
             lowest, highest = min(bounds[n][0] for n in rows), max(bounds[n][1] for n in rows)
             if lowest < 1:
@@ -253,12 +313,12 @@ class Engine:
             after.hashes |= {str(finalized_head.number): finalized_head.hash}
             after.hashes = {k: v for k, v in after.hashes.items() if int(k) >= after.finalized or int(k) == after.latest}
         after.latest_hash = after.hashes.get(str(after.latest), None)
-        return self._finish(after, rows, fork)
+        return self._finish(after, rows, fork, tag)
 
-    def _finish(self, after: Manifest, rows: dict[str, DataFrame], fork: int | None) -> ChangeBatch | None:
-        """Write new segments, work out net changes, and commit or wait for the acknowledgement."""
-        reducers, views = self._dag()
-        tag, perf, logs = uuid.uuid4().hex, [], {}
+    def _finish(self, after: Manifest, rows: dict[str, Segment], fork: int | None, tag: str) -> ChangeBatch | None:
+        """Write what follows from new raw segments, work out net changes, and commit or wait for the acknowledgement."""
+        _, views = self._dag()
+        perf, logs = [], {}
 
         def timed(what: str, run):
             began = time.perf_counter()
@@ -278,7 +338,8 @@ class Engine:
             if fork is not None and not table.virtual and (old := self._read(self.manifest, f"raw/{name}", "block_number")) is not None:
                 records.append(changes.raw_deletes(old, columns, fork).withColumn("_order", F.lit(0)))
             if name in rows:
-                new[name] = timed(f"raw_table {name}", lambda name=name: keep(f"raw/{name}", rows[name], "block_number"))
+                after.segments.setdefault(f"raw/{name}", []).append(rows[name])
+                new[name] = self.store.read([rows[name]], "block_number")
                 if not table.virtual:
                     records.append(changes.raw_inserts(new[name], columns).withColumn("_order", F.lit(1)))
             if records:
@@ -288,30 +349,43 @@ class Engine:
         for r in self.schema.reducer_order():
             if r.source not in new:
                 continue
-            held = self._read(after, f"snapshots/{r.name}", "block_number")
-            states = state_at(held, list(r.group_by)) if held is not None else None
-            folded = False
-
-            def write(both: DataFrame, r=r) -> tuple[DataFrame, DataFrame]:
-                nonlocal folded
-                folded = True
-                kind = F.when(F.col(STATE_JSON).isNull(), "emits").otherwise("snapshots")
-                parts = timed(f"reducer {r.name}", lambda: self.store.write_parts(both, kind, ("emits", "snapshots"), r.name, tag))
-                for name, segment in parts.items():
-                    after.segments.setdefault(f"{name}/{r.name}", []).append(segment)
-                return tuple(self.store.read([parts[name]], "block_number") for name in ("emits", "snapshots"))
-
-            out, snapshots = reducers[r.name].run(new[r.source], states, write)
-            new[r.name] = out if folded else timed(f"reducer {r.name}", lambda r=r, out=out: keep(f"emits/{r.name}", out, "block_number"))
-            if snapshots is not None and not folded:
-                timed(f"state {r.name}", lambda r=r, snapshots=snapshots: keep(f"snapshots/{r.name}", snapshots, "block_number"))
+            new[r.name] = timed(f"reducer {r.name}", lambda r=r: self._reduce(r, new[r.source], after, tag, self._read(after, f"snapshots/{r.name}", "block_number")))
         for name, plan in views.items():
             log = timed(f"mv {name}", lambda name=name, plan=plan: self._view_changes(name, plan, after, new.get(plan.view.source), fork, keep))
             if log is not None:
                 logs[name] = log
+        return self._deliver(after, logs, tag, perf)
+
+    def _reduce(self, r: Reducer, rows: DataFrame, after: Manifest, tag: str, held: DataFrame | None) -> DataFrame:
+        """Run a reducer over new rows from the states that ``held`` snapshots end in, and keep what it emits and its states."""
+        states = state_at(held, list(r.group_by)) if held is not None else None
+
+        def stored(segments: dict[str, Segment]) -> dict[str, DataFrame]:
+            for kind, segment in segments.items():
+                after.segments.setdefault(f"{kind}/{r.name}", []).append(segment)
+            return {kind: self.store.read([segment], "block_number") for kind, segment in segments.items()}
+
+        folds = []
+
+        def write(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+            kind = F.when(F.col(STATE_JSON).isNull(), "emits").otherwise("snapshots")
+            folds.append(stored(self.store.write_parts(both, kind, ("emits", "snapshots"), r.name, tag)))
+            return folds[0]["emits"], folds[0]["snapshots"]
+
+        out, snapshots = self._dag()[0][r.name].run(rows, states, write)
+        if folds:
+            return out
+        if snapshots is not None:
+            stored({"snapshots": self.store.write(snapshots, f"snapshots/{r.name}", tag)})
+        return stored({"emits": self.store.write(out, f"emits/{r.name}", tag)})["emits"]
+
+    def _deliver(self, after: Manifest, logs: dict[str, DataFrame], tag: str, perf: list[tuple[str, float]]) -> ChangeBatch | None:
+        """Write the net changes, and commit, or wait for the acknowledgement if there are any."""
         written = {}
         for name, log in logs.items():
-            df = self.store.read([timed(f"changes {name}", lambda name=name, log=log: self.store.write(log, f"changes/{name}", tag))], "_op")
+            began = time.perf_counter()
+            df = self.store.read([self.store.write(log, f"changes/{name}", tag)], "_op")
+            perf.append((f"changes {name}", time.perf_counter() - began))
             if not df.isEmpty():
                 written[name] = df
         self._compact(after, tag)
@@ -326,8 +400,9 @@ class Engine:
             return None
         sequence = after.next_sequence
         after.next_sequence += 1
-        self._pending, self._pending_count = (sequence, after), blocks
-        return ChangeBatch(sequence, Cursor(after.finalized, after.finalized_hash), Cursor(after.latest, after.latest_hash), written, perf)
+        batch = ChangeBatch(sequence, Cursor(after.finalized, after.finalized_hash), Cursor(after.latest, after.latest_hash), written, perf)
+        self._pending, self._pending_count = (sequence, after, batch), blocks
+        return batch
 
     def _view_changes(self, name, plan, after: Manifest, rows: DataFrame | None, fork: int | None, keep) -> DataFrame | None:
         """Net changes of a view: those of the rollback, then those of each new block."""

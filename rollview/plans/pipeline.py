@@ -10,15 +10,22 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from ..ddl.model import Column, Item, Native, Reducer, Schema, Sliding, StateField, Table, View
+from ..ddl.model import Column, Item, Native, Reducer, Schema, Script, Sliding, StateField, Table, View
 from ..ddl.parser import UNITS, validate
 from ..errors import SchemaError
 from ..functions.types import logical
 from .engine import Engine
 
-# column factories
-uint64, int64, float64, uint256 = "UInt64", "Int64", "Float64", "UInt256"
-string, datetime, boolean, bytes_, base58, json_ = "String", "DateTime", "Boolean", "Bytes", "Base58", "JSON"
+
+class ColumnType(str):
+    """The name of a logical type; calling it gives the name, so ``uint64`` and ``uint64()`` are the same."""
+
+    def __call__(self) -> ColumnType:
+        return self
+
+
+uint64, int64, float64, uint256 = map(ColumnType, ("UInt64", "Int64", "Float64", "UInt256"))
+string, datetime, boolean, bytes_, base58, json_ = map(ColumnType, ("String", "DateTime", "Boolean", "Bytes", "Base58", "JSON"))
 
 _SHORT = {"s": "second", "sec": "second", "m": "minute", "min": "minute", "h": "hour", "hr": "hour", "d": "day"}
 
@@ -140,14 +147,15 @@ def _interval_text(ms: int) -> str:
 
 
 def to_ddl(schema: Schema) -> str:
-    """DDL text of tables, views and reducers; reducers in Python are declared external."""
-    out = []
+    """DDL text of modules, tables, views and reducers; scripts are kept, other reducers are declared external."""
+    out = [f"CREATE MODULE {m.name} LANGUAGE LUA AS $${m.source}$$;" for m in schema.modules.values()]
     for t in schema.tables.values():
         out.append(f"CREATE {'VIRTUAL ' * t.virtual}TABLE {t.name} ({', '.join(f'{c.name} {c.type}' for c in t.columns)});")
     for r in schema.reducer_order():
         quoted = lambda f: "" if f.default is None else " DEFAULT '" + f.default.replace("'", "''") + "'"
         state = ", ".join(f"{f.name} {f.type}{quoted(f)}" for f in r.state)
-        out.append(f"CREATE REDUCER {r.name} SOURCE {r.source} GROUP BY {', '.join(r.group_by)} STATE ({state}) LANGUAGE EXTERNAL;")
+        body = f"{'REQUIRE ' + ', '.join(r.requires) + ' ' if r.requires else ''}LANGUAGE lua PROCESS $${r.body.source}$$" if isinstance(r.body, Script) else "LANGUAGE EXTERNAL"
+        out.append(f"CREATE REDUCER {r.name} SOURCE {r.source} GROUP BY {', '.join(r.group_by)} STATE ({state}) {body};")
     for v in schema.views.values():
         items = []
         for i in v.items:

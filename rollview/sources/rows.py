@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from ..ddl.model import Table
 from ..errors import InvalidOperation, SchemaError
 from ..functions.types import spark_type
 from ..plans.dataflow import typed_rows
+from .msgpack import pack, unpack
 
 
 def _cell(value: Any, type_: str) -> Any:
@@ -55,6 +57,22 @@ def host_rows(spark: SparkSession, table: Table, rows: Iterable[Mapping[str, Any
     return typed_rows(spark.createDataFrame(out, T.StructType(fields)), table.columns)
 
 
+def msgpack_rows(spark: SparkSession, table: Table, data: bytes) -> DataFrame:
+    """Rows of a host program as a MessagePack list of maps."""
+    rows = unpack(data)
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+        raise InvalidOperation(f"rows of {table.name!r} must be a list of maps")
+    return host_rows(spark, table, rows)
+
+
+def msgpack_tables(spark: SparkSession, tables: Mapping[str, Table], data: bytes) -> dict[str, DataFrame]:
+    """Rows by table from one MessagePack map, as :meth:`Engine.ingest` takes them."""
+    given = unpack(data)
+    if not isinstance(given, dict) or (unknown := [t for t in given if t not in tables]):
+        raise InvalidOperation("rows by table must be a map" if not isinstance(given, dict) else f"unknown table {unknown[0]!r}")
+    return {name: msgpack_rows(spark, tables[name], pack(rows)) for name, rows in given.items()}
+
+
 def json_rows(spark: SparkSession, table: Table, lines: DataFrame, column: str = "value", order_by: list[str] | None = None) -> DataFrame:
     """Rows from a column of JSON objects, parsed with the table's schema."""
     kinds = {c.name: T.StringType() if c.type in ("UInt256", "JSON") else spark_type(c.type) for c in table.columns}
@@ -76,6 +94,22 @@ def block_scan(rows: DataFrame, first: int, last: int) -> DataFrame:
     return rows.where(F.col("block_number").between(first, last))
 
 
+def to_msgpack_records(log: DataFrame, table: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Change records as MessagePack maps with the fields of :func:`to_json_records`; bytes stay bytes."""
+    columns = ["_op", *keys, *values, *(f"_prev_{v}" for v in values)]
+
+    def run(batches):
+        for batch in batches:
+            records = []
+            for row in batch.to_pylist():
+                key = {k: row[k] for k in keys}
+                before = None if row["_op"] == "insert" else {v: row[f"_prev_{v}"] for v in values}
+                records.append(pack({"table": table, "operation": row["_op"], "key": key, "values": key | {v: row[v] for v in values}, "prevValues": before}))
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["value"])
+
+    return log.select(*columns).mapInArrow(run, "value binary")
+
+
 def to_json_records(log: DataFrame, table: str, keys: list[str], values: list[str]) -> DataFrame:
     """Change records as JSON text, bytes in hex: {"table", "operation", "key", "values", "prevValues"}."""
     binary = {f.name for f in log.schema.fields if isinstance(f.dataType, T.BinaryType)}

@@ -2,13 +2,14 @@
 
 ``run_blocks`` drives an engine from a stream of rows: each micro-batch holds whole blocks, becomes one ``ingest`` call, and
 is acknowledged once its changes are delivered. A replayed block is recognised by its rows, so nothing is taken in twice;
-other rows of old blocks, such as the rest of a split block or a block after a fork, are an error. ``stream_reducer`` runs an ordered fold as keyed streaming state without the engine's undo.
+other rows of old blocks, such as the rest of a split block or a block after a fork, are an error. ``follow`` drives an
+engine from any source that can report forks. ``stream_reducer`` runs an ordered fold as keyed streaming state without the engine's undo.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..errors import InvalidOperation
 from ..functions.aggregates import ORDER
 from ..functions.types import spark_type
 from ..operators.reducers import ReducerPlan
 from ..plans.dataflow import typed_rows
-from ..plans.engine import ChangeBatch, Engine
+from ..plans.engine import ChangeBatch, Cursor, Engine
 
 
 def known_blocks(engine: Engine, table: str, old: DataFrame) -> bool:
@@ -39,6 +41,9 @@ def run_blocks(engine: Engine, stream: DataFrame, table: str, on_change: Callabl
     over micro-batches: rows of old blocks that are no replay fail the query, as ``Engine.ingest`` rejects them."""
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
+        if (waiting := engine.pending_batch) is not None:  # its delivery failed: once more
+            on_change(waiting)
+            engine.ack(waiting.sequence)
         latest = F.lit(engine.latest_block)
         old = batch.where(F.col("block_number") <= latest)
         if not old.isEmpty() and known_blocks(engine, table, old):  # a replay brings known blocks again
@@ -52,6 +57,37 @@ def run_blocks(engine: Engine, stream: DataFrame, table: str, on_change: Callabl
     return (query.trigger(availableNow=True) if available_now else query.trigger(**trigger)).start()
 
 
+class Fork(Exception):
+    """Raised by a source whose chain has left ours; ``chain``: its blocks, latest first."""
+
+    def __init__(self, chain: Iterable[Cursor]):
+        super().__init__("the chain has forked")
+        self.chain = list(chain)
+
+
+def follow(engine: Engine, read: Callable[[Cursor | None], Iterable[tuple[dict, Iterable[Cursor], Cursor | None]]], on_change: Callable[[ChangeBatch], Any]) -> None:
+    """Feed an engine from a source until it ends. ``read(cursor)`` gives (rows by table, chain, finalized head) from after
+    ``cursor`` on, or raises :class:`Fork`; then the engine rolls back to the last block in common, tells ``on_change`` so, and
+    reading goes on from there. Every batch is acknowledged after ``on_change`` returns; one whose delivery failed is delivered
+    again first."""
+
+    def deliver(batch: ChangeBatch | None) -> None:
+        if batch is not None:
+            on_change(batch)
+            engine.ack(batch.sequence)
+
+    deliver(engine.pending_batch)
+    while True:
+        try:
+            for data, chain, finalized in read(engine.latest_cursor if engine.latest_block else None):
+                if finalized is None:
+                    raise InvalidOperation("a source must tell its finalized head")
+                deliver(engine.ingest(data, chain, finalized))
+            return
+        except Fork as fork:
+            deliver(engine.handle_fork(fork.chain)[1])
+
+
 def stream_reducer(plan: ReducerPlan, rows: DataFrame) -> DataFrame:
     """What a reducer emits over a stream of ordered rows, as an append-only stream. Rows are put in order within each
     micro-batch; across batches they must come in order."""
