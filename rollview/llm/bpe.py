@@ -71,7 +71,7 @@ class ByteLevelBPE:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.matches = regex.compile(pattern).findall
         self.bytes_of = {str(i): t for t, i in ranks.items()}
-        self.words = Memo(self._encode_match, limit=200_000)
+        self.words = Memo(self._encode_match)
         self.chunks = Memo(lambda chunk: " ".join([self.words[x] for x in self.matches(chunk)]))
 
     def _encode_match(self, match: str) -> str:

@@ -31,7 +31,7 @@ def chunks(text: str) -> list[str]:
 class Memo(dict):
     """``memo[chunk]`` is ``encode(chunk)``; holds two generations of at most ``limit`` short chunks each."""
 
-    def __init__(self, encode, limit: int = 400_000, longest: int = 48):
+    def __init__(self, encode, limit: int = 50_000, longest: int = 48):
         super().__init__()
         self.encode, self.limit, self.longest, self.old = encode, limit, longest, {}
 
