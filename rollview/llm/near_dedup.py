@@ -13,8 +13,8 @@ largest component and its other documents are cut into blocks of bounded size; e
 block of the family by matrix products, and only the links that join components come out. So each pair that shares a bucket
 ends in one component or has been compared: no link is lost, and no pair becomes a row but those with heads.
 
-Words are what white space parts, in lower case; a text of one to four words is one shingle. Defined results: a null or
-empty text has no shingles and is a class of its own; an id is a document, so rows of one id stay or go together (several
+Words are what white space parts, in lower case; a text of one to four words is one shingle. Defined results: texts of any
+length are compared whole; a null or empty text has no shingles and is a class of its own; an id is a document, so rows of one id stay or go together (several
 texts under one id are tied to one class); null ids count as one document, below all others; an empty table gives an empty
 result; other columns are not read and kept by :func:`drop_near_copies`.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, id_key, map_texts, shuffle_partitions, table
+from .common import cut, id_back, id_key, map_texts, shuffle_partitions, table, unused
 from .components import components
 
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -152,7 +152,7 @@ def _features(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataF
 
         return work
 
-    return map_texts(docs, [id_key(id_col).alias("doc"), F.col(text_col)], make, "doc long, c1 long, c2 long, n long, bands array<long>")
+    return map_texts(docs, [id_key(docs, id_col).alias("doc"), F.col(text_col)], make, "doc long, c1 long, c2 long, n long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -173,6 +173,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, id_col: str, text_
 
 BLOCK = 1024  # documents of a block
 COLUMNS = 4096  # shingles of one matrix product
+PAIRS = 2_000_000  # pairs of documents with a rare shingle, at a time
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -185,7 +186,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col
 
         return work
 
-    texts = docs.select(id_key(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi")
+    texts = docs.select(id_key(docs, id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi")
     return map_texts(texts, [F.col("doc"), F.col("text")], make, "doc long, shingles binary")
 
 
@@ -233,10 +234,16 @@ def joining_links(left: _Side, right: _Side, similarity: float) -> list[tuple[in
     rare = ~frequent[lkey]
     lrow, lkey, lshare = lrow[rare], lkey[rare], lshare[rare]
     starts, repeats = np.cumsum(rcount) - rcount, rcount[lkey]
-    at = np.repeat(starts[lkey] - (np.cumsum(repeats) - repeats), repeats) + np.arange(repeats.sum())
-    cell = np.repeat(lrow, repeats) * len(right.doc) + rrow[at]
-    for side, weight in enumerate((np.repeat(lshare, repeats), rshare[at])):
-        near[side] += np.bincount(cell, weights=weight, minlength=near[side].size).reshape(near[side].shape)
+    upto = np.cumsum(repeats)
+    part = 0
+    while part < len(lkey):  # parts of bounded size, whatever the number of shingles
+        end = max(part + 1, int(np.searchsorted(upto, (upto[part - 1] if part else 0) + PAIRS, side="right")))
+        own, many = slice(part, end), repeats[part:end]
+        at = np.repeat(starts[lkey[own]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        cell = np.repeat(lrow[own], many) * len(right.doc) + rrow[at]
+        for side, weight in enumerate((np.repeat(lshare[own], many), rshare[at])):
+            near[side] += np.bincount(cell, weights=weight, minlength=near[side].size).reshape(near[side].shape)
+        part = end
     both = np.rint(near[0] * left.total[:, None])
     plain = both / (left.total[:, None] + right.total[None] - both)  # where no shingle repeats; else a bound must do
     most = np.where(left.plain[:, None] & right.plain[None], plain + 1e-9, near.min(axis=0) + 1e-4)
@@ -295,19 +302,21 @@ def near_classes(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     """(doc, class): every row's document and the smallest document of its class."""
     s = settings
     features = cut(_features(docs, s, id_col, text_col))
-    copies = features.where("n > 0").groupBy("c1", "c2").agg(F.min("doc").alias("first"))
+    # what a hot key's rows are joined with is written first: both sides of the join then come straight from a shuffle, and
+    # adaptive execution can split a partition that holds one key
+    copies = cut(features.where("n > 0").groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many"))
     members = features.join(copies, ["c1", "c2"], "left").select("doc", F.coalesce("first", "doc").alias("first"), "bands")
     members = cut(members.select("doc", "first", F.when((F.col("doc") == F.col("first")) & (F.size("bands") > 0), F.col("bands")).alias("bands")))
     rows = members.where("bands is not null").select("doc", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("doc", F.col("band") % 4).alias("h"), "doc")).alias("head")).where("many > 1")
-    rows = cut(rows.join(shared.select("key", F.col("head.doc").alias("head")), "key").select("key", "doc", "head"))
+    rows = cut(rows.join(cut(shared.select("key", F.col("head.doc").alias("head"))), "key").select("key", "doc", "head"))
     compared = rows.where("doc <> head").select(*_pairs("doc", "head")).distinct()
     links = cut(_verified(cut(compared), docs, s, id_col, text_col))
     named = components(links)
     placed = rows.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "head", F.coalesce("component", "doc").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
     # a bucket of two was compared in full
-    split = cut(placed.join(apart.where("low < high and many > 2").select("key"), "key", "left_semi").select("doc", "head", "component").distinct())
+    split = cut(placed.join(cut(apart.where("low < high and many > 2").select("key")), "key", "left_semi").select("doc", "head", "component").distinct())
     more = cut(_family_links(split, docs, s, id_col, text_col))
     # an id with several texts ties the classes of these
     several = members.groupBy("doc").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("doc", "a", "b")
@@ -323,8 +332,9 @@ def _classes(members: DataFrame, named: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest document of each class only."""
-    gone = near_classes(docs, settings, id_col, text_col).where("doc <> class").select(F.col("doc").alias("__rv_gone")).distinct()
-    return docs.withColumn("__rv_doc", id_key(id_col)).join(gone, F.col("__rv_doc") == F.col("__rv_gone"), "left_anti").drop("__rv_doc")
+    key = unused(docs, "key")
+    gone = near_classes(docs, settings, id_col, text_col).where("doc <> class").select(F.col("doc").alias(key)).distinct()
+    return docs.withColumn(key, id_key(docs, id_col)).join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
