@@ -110,9 +110,10 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _hash6(h: np.ndarray) -> np.ndarray:
-    """48 bits of hashes, as six bytes each: two anchors that fall together cost work and change no result."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
+def _low(h: np.ndarray) -> np.ndarray:
+    """The low 32 bits of hashes, which tell the anchors of one bucket apart: two of them that fall together (a share of a
+    bucket's anchors / 2**32) cost work and change no result. The high bits say little, as anchors are least hashes."""
+    return h.astype(np.uint32)
 
 
 def _scatter(parts: int, doc: np.ndarray, version: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
@@ -191,7 +192,7 @@ def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col:
                     mine = by[cuts[b] : cuts[b + 1]]
                     if len(mine):
                         t = take[mine]
-                        out.append((b, 0, _pack(_hash6(h[t]), doc[t], version[t], place[t], flags[mine])))
+                        out.append((b, 0, _pack(_low(h[t]), doc[t], version[t], place[t], flags[mine])))
                 known = np.sort(order[local])
                 if len(known):
                     out.append((int(h[0] % np.uint64(buckets)), 1, _pack(doc[known], version[known], place[known])))
@@ -205,13 +206,10 @@ def _shared(anchors: DataFrame, parts: int) -> DataFrame:
     """(doc, version, places) of the anchors that more than one document has."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack(x, "V6", "<i8", "<i8", "<u4", "u1") for x in frame["data"][frame["kind"] == 0]]
+        own = [_unpack(x, "<u4", "<i8", "<i8", "<u4", "u1") for x in frame["data"][frame["kind"] == 0]]
         docs, versions, places = [], [], []
         if own:
-            six, doc, version, place, flag = (np.concatenate([x[k] for x in own]) for k in range(5))
-            whole = np.zeros((len(six), 8), dtype=np.uint8)
-            whole[:, :6] = six.view(np.uint8).reshape(-1, 6)
-            h = whole.view("<u8").ravel()
+            h, doc, version, place, flag = (np.concatenate([x[k] for x in own]) for k in range(5))
             order = np.lexsort((doc, h))
             h, doc, flag = h[order], doc[order], flag[order]
             begins = np.ones(len(h), dtype=bool)
@@ -369,8 +367,9 @@ def repeated_stretches(docs: DataFrame, length: int = 50, id_col: str = "doc_id"
         raise ValueError(f"length must be at least {GRAM + 8}")
     buckets = max(8, shuffle_partitions(docs.sparkSession))
     shared = _shared(_anchors(docs, length, buckets, id_col, text_col), buckets)
-    texts = _texts(docs, id_col, text_col)
-    marked = texts.dropDuplicates(["doc", "version"]).join(shared, ["doc", "version"])
+    # both joins read the texts from one shuffle: the same rows, dealt by the same columns
+    texts = _texts(docs, id_col, text_col).where("doc is not null and version is not null")
+    marked = texts.join(shared, ["doc", "version"])
     return texts.join(_gone(_segments(marked, length, buckets), length, buckets), ["doc", "version"], "left")
 
 
