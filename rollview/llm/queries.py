@@ -10,6 +10,7 @@ from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op9_quality_rules
 from .secrets import op8_secret_scans
+from .substrings import ORACLE_SQL as SUBSTRINGS_SQL
 from .substrings import op10_suffix_dedup
 from .topk import ORACLE_SQL as TOP_K_SQL
 from .topk import op7_exact_top_k
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": LINE_DEDUP_SQL,
         "op7_exact_top_k": TOP_K_SQL,
+        "op10_suffix_dedup": SUBSTRINGS_SQL,
     }

@@ -1,7 +1,7 @@
 """Exact removal of byte strings that documents with smaller ids hold too.
 
 A byte goes if some string of ``length`` bytes (50) over it also starts in a document with a smaller id. Work is found by
-anchors and decided on the bytes:
+hashes and decided on the bytes:
 
 1. Anchors. A run of 20 bytes is an anchor if its hash is the least among all runs of 20 bytes of some 50-byte string over
    it. The least run of a string depends on the string alone, so documents that share a string share an anchor. Tasks send
@@ -10,7 +10,8 @@ anchors and decided on the bytes:
 2. Shared anchors go back to their documents. Each string of 50 bytes belongs to its least run; the strings of a shared
    anchor are one segment of text, 50 to 80 bytes long. Equal segments of one block are settled there: all but the smallest
    document lose them. What is left goes, as bytes, to the bucket of its anchor.
-3. In a bucket all strings of 50 bytes are grouped and each group's smallest document keeps it.
+3. In a bucket all strings of 50 bytes are grouped by hash, the bytes of each group are compared, and each group's smallest
+   document keeps it.
 
 No task sees more than a bucket of distinct segments, and nothing is sent for text that is nobody else's. The named method,
 streaming matching statistics over a run-length index, is in :mod:`.rlbwt`; the README says why it does not run here.
@@ -300,6 +301,32 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
     return marked.select("doc", "version", "zipped", "places").mapInArrow(run, "bucket int, kind int, data binary")
 
 
+def _equal_strings(blob: bytes, at: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at ``at`` equal those at ``other``, byte by byte. ``blob`` goes on for 8 bytes more.
+
+    Where a string and its other both lie one byte after those before them, 49 bytes are compared already, and only the last
+    one is left; if any bytes differ, all strings are compared in full.
+    """
+    moved = at != other
+    chained = np.zeros(len(at), dtype=bool)
+    chained[1:] = moved[1:] & moved[:-1] & (at[1:] == at[:-1] + 1) & (other[1:] == other[:-1] + 1)
+    each, words = np.frombuffer(blob, np.uint8), _words(blob, 0, len(blob) - 7)
+
+    def in_full(which: np.ndarray) -> np.ndarray:
+        same = np.ones(len(which), dtype=bool)
+        for k in [*range(0, length - 7, 8), length - 8]:
+            same &= words[at[which] + k] == words[other[which] + k]
+        return same
+
+    out, whole, last = np.ones(len(at), dtype=bool), np.flatnonzero(moved & ~chained), np.flatnonzero(chained)
+    out[whole] = in_full(whole)
+    out[last] = each[at[last] + length - 1] == each[other[last] + length - 1]
+    if not out.all():
+        which = np.flatnonzero(moved)
+        out[which] = in_full(which)
+    return out
+
+
 def _gone(segments: DataFrame, length: int, parts: int) -> DataFrame:
     """(doc, version, begins, ends) of the stretches that go."""
 
@@ -307,8 +334,8 @@ def _gone(segments: DataFrame, length: int, parts: int) -> DataFrame:
         import zstandard
 
         stretches = [np.column_stack(_unpack(x, "<i8", "<i8", "<i8", "<i8")) for x in frame["data"][frame["kind"] == 1]]
-        heads, hashes, rows, places, at_row = [], [], [], [], 0
-        for x in frame["data"][frame["kind"] == 0]:  # one at a time: what stays of it is 14 bytes a string
+        heads, hashes, rows, places, blobs, at_row, at_byte = [], [], [], [], [], 0, 0
+        for x in frame["data"][frame["kind"] == 0]:
             raw = zstandard.ZstdDecompressor().decompress(x)
             n = struct.unpack_from("<q", raw)[0]
             head = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(n, 4)
@@ -316,26 +343,38 @@ def _gone(segments: DataFrame, length: int, parts: int) -> DataFrame:
             counts = head[:, 3] - length + 1  # strings of each segment
             row = np.repeat(np.arange(n, dtype=np.uint32), counts)
             inside = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint16)
-            blob = raw[8 + 32 * n :] + b"\0" * (length + 8)
-            hashes.append(hash_runs(blob, int(head[:, 3].sum()), length)[starts[row] + inside])
-            heads.append(head.copy())
+            blob = raw[8 + 32 * n :]
+            hashes.append(hash_runs(blob + b"\0" * (length + 8), len(blob), length)[starts[row] + inside])
+            heads.append(np.column_stack([head[:, :3], starts + at_byte]))
             rows.append(row + np.uint32(at_row))
             places.append(inside)
-            at_row += n
+            blobs.append(blob)
+            at_row, at_byte = at_row + n, at_byte + len(blob)
         if heads:
             head, h, row, inside = (np.concatenate(x) for x in (heads, hashes, rows, places))
-            del heads, hashes, rows, places
+            blob = b"".join(blobs) + b"\0" * 8
+            del heads, hashes, rows, places, blobs
             rank = np.empty(len(head), dtype=np.uint32)  # of a segment's document
             rank[:] = np.unique(head[:, 0], return_inverse=True)[1]
             order = np.argsort(h)
             begins = np.ones(len(h), dtype=bool)
             begins[1:] = np.diff(h[order]) != 0
-            at = np.flatnonzero(begins)
-            ranks = rank[row[order]]
-            goes = np.zeros(len(h), dtype=bool)
-            goes[order] = np.repeat(np.minimum.reduceat(ranks, at), np.diff([*at, len(h)])) < ranks
+            at, at_string = np.flatnonzero(begins), head[:, 3][row] + inside
+            sizes, ranks = np.diff([*at, len(h)]), rank[row[order]]
+            goes, first = np.zeros(len(h), dtype=bool), np.empty(len(h), dtype=np.int64)
+            goes[order] = np.repeat(np.minimum.reduceat(ranks, at), sizes) < ranks
+            first[order] = np.repeat(np.minimum.reduceat(at_string[order], at), sizes)
+            unlike = np.flatnonzero(~_equal_strings(blob, at_string, first, length))
+            if len(unlike):  # different strings of one hash: their groups are settled by their bytes
+                group = np.cumsum(begins) - 1
+                for g in np.unique(group[np.isin(order, unlike)]).tolist():
+                    own = order[at[g] : at[g] + sizes[g]]
+                    texts, least = [blob[p : p + length] for p in at_string[own].tolist()], {}
+                    for t, r in zip(texts, rank[row[own]].tolist(), strict=True):
+                        least[t] = min(r, least.get(t, r))
+                    goes[own] = [least[t] < r for t, r in zip(texts, rank[row[own]].tolist(), strict=True)]
             hit = np.flatnonzero(goes)
-            del order, ranks, begins, h
+            del order, ranks, begins, h, first, at_string
             if len(hit):
                 new = np.flatnonzero((row[hit][1:] != row[hit][:-1]) | (inside[hit][1:] != inside[hit][:-1] + 1)) + 1
                 a, b = hit[np.concatenate([[0], new])], hit[np.concatenate([new - 1, [len(hit) - 1]])]
@@ -410,3 +449,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, id_c
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without the 50-byte strings that smaller ids hold."""
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+#: Strings are cut from stretches of 1000 bytes in hexadecimal, so that no cut looks through a whole long text.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, substr(h, 2000 * k + 1, 2098) AS part FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2000)) AS k FROM d)),
+s AS (SELECT doc_id, 1000 * k + j AS i, substr(part, 2 * j + 1, 100) AS g FROM (SELECT doc_id, k, part, unnest(generate_series(0, least(999, length(part) // 2 - 50))) AS j FROM b)),
+m AS (SELECT g, min(doc_id) AS keeper FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, i FROM s JOIN m USING (g) WHERE keeper < doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 50 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked) GROUP BY doc_id, r),
+edges AS (SELECT doc_id, coalesce(lag(z) OVER w, 0) AS since, a FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+          UNION ALL SELECT doc_id, max(z), NULL FROM runs GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(CASE WHEN a IS NULL THEN substr(h, 2 * since + 1) ELSE substr(h, 2 * since + 1, 2 * (a - since)) END, '' ORDER BY since) AS kept FROM edges JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n, count(*) AS k FROM runs GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(k, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN rest ON rest.doc_id = d.doc_id
+"""

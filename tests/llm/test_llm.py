@@ -198,12 +198,25 @@ def test_near_dedup(spark):
     assert near_dedup.near_classes(empty(df)).count() == 0
 
 
-def test_components_by_rounds_and_in_one_task(spark):
+@pytest.mark.parametrize("per_task", [100_000, 90, 30])
+def test_components(spark, per_task):
     random = np.random.default_rng(9)
     links = [(int(a), int(b)) for a, b in random.integers(0, 300, (220, 2))] + [(1000 + k, 1001 + k) for k in range(40)]
-    df = spark.createDataFrame(links, "a long, b long")
-    one, many = (sorted(map(tuple, components(df, n).select("node", "component").collect())) for n in (10**6, 0))
-    assert one == many and (1040, 1000) in one
+    root = {n: n for link in links for n in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    random.shuffle(links)
+    df = spark.createDataFrame([tuple(map(int, x)) for x in links], "a long, b long")
+    found = dict(map(tuple, components(df, per_task).select("node", "component").collect()))
+    tied = {n for a, b in links if a != b for n in (a, b)}
+    assert found == {n: find(n) for n in tied} and found[1040] == 1000
+    assert components(empty(df), per_task).count() == 0
 
 
 def test_prob_minhash_estimates_probability_jaccard():
@@ -246,6 +259,35 @@ def test_substrings(spark):
     assert substrings.remove_repeats(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 6, 1])
+def test_substrings_of_one_hash_are_told_apart(monkeypatch, bits):
+    random, length, real = np.random.default_rng(11), 50, substrings.hash_runs
+    passage = bytes(random.integers(97, 100, 70).astype(np.uint8))
+    texts = {i: passage[i % 4 : 66] + bytes(random.integers(97, 100, 20).astype(np.uint8)) for i in range(9)}
+    monkeypatch.setattr(substrings, "hash_runs", lambda *a: real(*a) & np.uint64((1 << bits) - 1))
+    head = np.array([(d, 0, 0, len(t)) for d, t in texts.items()], dtype="<i8")
+    import struct
+
+    import pandas as pd
+    import zstandard
+
+    data = zstandard.ZstdCompressor().compress(struct.pack("<q", len(texts)) + head.tobytes() + b"".join(texts.values()))
+    scattered = []
+    monkeypatch.setattr(substrings, "_scatter", lambda parts, *columns: scattered.append(np.column_stack(columns)))
+
+    class Segments:  # runs the function of a bucket here
+        groupBy = lambda self, *_: self
+        applyInPandas = lambda self, run, *_: run(pd.DataFrame({"bucket": [0], "kind": [0], "data": [data]}))
+
+    monkeypatch.setattr(substrings, "_gather", lambda *_, **__: None)
+    substrings._gone(Segments(), length, 1)
+    gone = {i: set() for i in texts}
+    for doc, _, a, b in np.concatenate(scattered).tolist():
+        gone[doc] |= set(range(a, b))
+    want = brute_substrings({i: t.decode() for i, t in texts.items()}, length)
+    assert {i: len(g) for i, g in gone.items()} == {i: n for i, (_, n, _, _) in want.items()}
+
+
 def test_top_k_ties_and_odd_vectors(spark):
     random = np.random.default_rng(2)
     rows = [(i, [float(x) for x in random.normal(0, 1, 6)]) for i in range(240)]
@@ -374,8 +416,25 @@ def test_field_sees_all_tokens():
     assert not base and [text[a:b] for a, b, _ in spans] == ["QwErTyUiOpAsDfGh"]
     words = secrets._TOKEN.findall(text) * 3
     slow = np.array([field.score(secrets.token_features(words, i, ["signs0"])) for i in range(len(words))])
-    scan = secrets.Scanner(field, most=4)
-    assert all(np.allclose(scan.scores(words, ["signs0"]), slow) for _ in range(3))
+    scan, file = secrets.Scanner(field, most=4), field.score(["signs0"])
+    together = np.array([file[1:] - file[0]] * 3)
+    for _ in range(3):
+        assert np.allclose(scan.gains([words, [], words[:5]], together)[: len(words)], slow[:, 1:] - slow[:, :1])
+    texts = [text, "", "a", text * 2, "no secret here", text[::-1], *(t or "" for t in ODD)]
+    one_by_one = [secrets.Scanner(field)(t) for t in texts]
+    for size in (1, 100, 10**6):
+        assert secrets.Scanner(field, most=50, together=size).many(texts) == one_by_one
+    for t, (base, spans) in zip(texts, one_by_one, strict=True):  # against Viterbi over all tokens
+        tokens = [m.span() for m in secrets._TOKEN.finditer(t)]
+        of_file, own = secrets.file_features(t), [t[a:b] for a, b in tokens]
+        tags = field.decode([secrets.token_features(own, i, of_file) for i in range(len(own))]) if own else []
+        found = []
+        for (a, b), tag in zip(tokens, tags, strict=True):
+            if tag == secrets.B:
+                found.append([a, b])
+            elif tag == secrets.I:
+                found[-1][1] = b
+        assert [s for s in spans if s[2] == 3] == [(a, b, 3) for a, b in found if not any(x < b and a < y for x, y, _ in base)]
     for seed in range(300):  # bounds leave the best path as it is
         random = np.random.default_rng(seed)
         field = secrets.ChainField({"a": 0}, np.zeros((1, 3)), random.normal(0, 2, (3, 3)))
@@ -463,6 +522,31 @@ def test_toxicity(spark, odd):
     assert toxicity.score_toxicity(odd, toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))).where("score > 0").count() == 0
 
 
+def test_stages_on_odd_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(28)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    clashing = odd.selectExpr("*", "1 as n_chars", "'k' as `key`", "2 as `lines`", "'d' as doc", "3 as `class`", "x'00' as version", "0 as hit", "'i' as id", "1.5 as y")
+    for df in (clashing, empty(clashing)):
+        at = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, at, str(tmp_path))
+            assert after.columns == df.columns and [f.dataType for f in after.schema] == [f.dataType for f in df.schema], name
+            kept = after.collect()
+            assert len(kept) <= at.count() and all(r["key"] == "k" and r["lines"] == 2 and r["id"] == "i" for r in kept)
+            at = spark.createDataFrame(kept, after.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+        assert {r.doc_id for r in last} == {r.doc_id for r in at.collect()}
+
+
+def test_ids_must_be_integers(spark):
+    df = spark.createDataFrame([("a", "some text", "user", "x")], "doc_id string, text string, role string, turn string")
+    for run in (near_dedup.near_classes, line_dedup.keep_bitmaps, substrings.remove_repeats, lambda d: chat.repair_chats(d, conv_col="doc_id")):
+        with pytest.raises(TypeError, match="integer ids"):
+            run(df)
+
+
 def test_pipeline_against_its_stages(spark, sf_dir, docs):
     import corpus_pipeline
 
