@@ -8,7 +8,7 @@ inequality bounds the score of a whole ring from its distances, so rings are exp
 1. every query searches the ring with the best bound, and the next ones until k rows are seen, which gives its k-th score;
 2. it then searches the rings whose bound reaches that score, and stops there: no other ring can hold a better row.
 
-The number of pivots and rings is a parameter, so the table of rings is bounded whatever the input's size. A ring's rows
+Pivots grow with the square root of the rows up to a limit, so that rings get finer and the table of rings stays bounded. A ring's rows
 and the queries that meet it are both cut into blocks, and a task multiplies one block of rows with one block of queries.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are padded with
@@ -18,6 +18,7 @@ all rows of a query's id are searched, and its k results are the best of all the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,11 +32,12 @@ from .common import cut, table
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the rows that pivots are drawn from."""
+    """``pivots``: 0 for a number that grows with the square root of the rows, from 16 to 256. ``sample`` bounds the rows that
+    they are drawn from."""
 
     k: int = 5
     scale: int = 256
-    pivots: int = 16
+    pivots: int = 0
     rings: int = 8
     block: int = 4096
     queries: int = 1024
@@ -99,7 +101,7 @@ def _distances(x: np.ndarray, top: float, pivots: np.ndarray) -> np.ndarray:
 
 def build_index(rows: DataFrame, s: Settings) -> tuple[DataFrame, Index] | None:
     """(id, x, ring: number among all rings, part: block of the ring) of every row, and the index; None for no rows."""
-    facts = rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)).alias("top"), F.max(F.size("x")).alias("size")).first()
+    facts = rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)).alias("top"), F.max(F.size("x")).alias("size"), F.count(F.lit(1)).alias("n")).first()
     if facts.size is None:
         return None
     top, size = float(facts.top), int(facts.size)
@@ -107,7 +109,8 @@ def build_index(rows: DataFrame, s: Settings) -> tuple[DataFrame, Index] | None:
     sample = matrix(drawn["x"], size)
     lifted = np.column_stack([sample, np.sqrt(np.maximum(top - (sample**2).sum(axis=1), 0))])
     chosen, gap = [0], ((lifted - lifted[0]) ** 2).sum(axis=1)
-    while len(chosen) < min(s.pivots, len(lifted)):  # farthest first
+    wanted = s.pivots or min(256, max(16, math.isqrt(facts.n) // 14))
+    while len(chosen) < min(wanted, len(lifted)):  # farthest first
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, ((lifted - lifted[chosen[-1]]) ** 2).sum(axis=1))
     pivots = lifted[chosen]
