@@ -14,7 +14,7 @@ What comes out is one row per turn, and one per inserted turn, with the piece of
 a conversation, joined by position, are its rendering.
 
 Ties between repairs go to a turn of its own rather than a merged one, then, from the conversation's end backwards, to the
-state that comes first in the order start, system, user, assistant. Defined results: a null role, or one that is none of the three, is relabelled at the price of any relabelling; roles are
+state that comes first in the order start, system, user, assistant. Defined results: texts of any length are rendered whole; a null role, or one that is none of the three, is relabelled at the price of any relabelling; roles are
 compared in lower case without blanks around them; a null text is empty; turns with equal numbers are ordered by role, then
 text, null turns first; repeated rows are turns of their own; rows without a conversation id form one conversation; an
 empty table gives an empty result; other columns are not read.

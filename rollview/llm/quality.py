@@ -6,7 +6,7 @@ of either histogram to its reference is above a limit; texts shorter than a mini
 pass this rule. The limit of words follows from the reference and the text's length: chance alone moves the histogram of a
 short text far, and a text without any common word lies no farther than the share of common words in the reference allows.
 
-Defined results: a null or empty text has no words and fails the base rule; a document whose language is null or has no
+Defined results: texts of any length are counted whole; a null or empty text has no words and fails the base rule; a document whose language is null or has no
 reference is compared with the reference of all documents, and its words may fit that or the reference of any language;
 repeated rows count as often as they come; an empty table gives
 an empty result; other columns are not read.

@@ -10,7 +10,7 @@ Features: a word, and the first letters of a word, each at four levels: seen at
 in 300 or in 100 words of the text, as what is chance in a long text is none in a short one. The words that tell positives
 from unlabelled texts are found by counts over the training sample. Only texts enter a score.
 
-Defined results: a null or empty text has no features and gets the score of the bias alone; repeated rows get equal scores;
+Defined results: texts of any length are scored whole; a null or empty text has no features and gets the score of the bias alone; repeated rows get equal scores;
 an empty training side gives score 0 for all texts; an empty table gives an empty result; other columns are not read.
 """
 
