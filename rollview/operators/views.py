@@ -12,6 +12,10 @@ from ..functions.aggregates import Aggregate
 from .changes import DELETE, INSERT, UPDATE, _differs
 
 
+#: Blocks, and milliseconds at least, of the ranges in which ends of blocks are sought.
+_BLOCKS, _MILLIS = 4096, 3_600_000
+
+
 class ViewPlan:
     """Plans of one view. ``types`` has the logical type of each source column.
 
@@ -46,12 +50,20 @@ class ViewPlan:
         by_name = {a.item.name: a.value() for a in self.aggregates}
         return merged.where(has).select(*(by_name.get(c, F.col(c)) for c in self.columns))
 
-    def partials(self, rows: DataFrame) -> DataFrame:
+    def _grouped(self, rows: DataFrame, *by: str) -> DataFrame:
         keys = self._key_columns()
         read = {a.item.column for a in self.aggregates if a.item.column}
         rows = rows.select(*keys, *sorted({"block_number", "_row_index", "_emit_index"} | read))
-        grouped = rows.groupBy(*(f"__k_{k}" for k in self.keys), "block_number").agg(*(p for a in self.aggregates for p in a.partial()) or [F.count(F.lit(1)).alias("__rows")])
-        return grouped.select(*(F.col(f"__k_{k}").alias(k) for k in self.keys), F.col("block_number").alias("_block"), *self.parts)
+        return rows.groupBy(*(f"__k_{k}" for k in self.keys), *by).agg(*(p for a in self.aggregates for p in a.partial()) or [F.count(F.lit(1)).alias("__rows")])
+
+    def partials(self, rows: DataFrame) -> DataFrame:
+        return self._grouped(rows, "block_number").select(*(F.col(f"__k_{k}").alias(k) for k in self.keys), F.col("block_number").alias("_block"), *self.parts)
+
+    def whole(self, rows: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+        """The view over all ``rows`` in one aggregation, where nothing will be undone or added. ``spans`` as for :meth:`state`."""
+        if self.view.sliding:
+            rows = rows.join(spans.where("_end is null").select(F.col("_block").alias("block_number")), "block_number", "left_semi")
+        return self._out(self._grouped(rows).withColumnsRenamed({f"__k_{k}": k for k in self.keys}))
 
     def merge(self, partials: DataFrame, *by: str) -> DataFrame:
         aggregated = [m for a in self.aggregates for m in a.merge()] or [F.count(F.lit(1)).alias("__rows")]
@@ -72,15 +84,23 @@ class ViewPlan:
         """(_block, _end, _time): a block counts from itself up to, not including, ``_end``; null: to this day.
 
         The watermark after a block is the latest time so far; a block without a time takes the watermark. A block ends
-        with the first one whose watermark is more than the window's width ahead of its time. One row per block.
+        with the first one whose watermark is more than the window's width ahead of its time. Both are running extremes, found
+        within ranges of blocks and of times; what is carried from range to range is one row per range.
         """
-        whole = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        marked = times.withColumn("_mark", F.greatest(F.lit(0).cast("long"), F.max("_time").over(whole))).withColumn("_time", F.coalesce("_time", "_mark"))
+        within = Window.partitionBy("_range").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranged = times.withColumn("_range", F.floor(F.col("_block") / F.lit(_BLOCKS)))
+        carried = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        tops = ranged.groupBy("_range").agg(F.max("_time").alias("_top")).select("_range", F.max("_top").over(carried).alias("_before"))
+        mark = F.greatest(F.lit(0).cast("long"), F.max("_time").over(within), F.col("_before"))
+        marked = ranged.join(tops, "_range").withColumn("_mark", mark).withColumn("_time", F.coalesce("_time", "_mark"))
         past = marked.select((F.col("_time") + self.view.sliding.width_ms).alias("at"), F.lit(1).alias("side"), F.col("_block").alias("of"), "_time", F.lit(None).cast("long").alias("by"))
         marks = marked.select(F.col("_mark").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("of"), F.lit(None).cast("long").alias("_time"), F.col("_block").alias("by"))
         # marks only grow with blocks, so the first block past a time is the least one that sorts after it
-        after = Window.orderBy("at", "side").rowsBetween(1, Window.unboundedFollowing)
-        found = past.unionByName(marks).withColumn("_end", F.min("by").over(after)).where("side = 1")
+        both = past.unionByName(marks).withColumn("_range", F.floor(F.col("at") / F.lit(max(self.view.sliding.width_ms, _MILLIS))))
+        after = Window.partitionBy("_range").orderBy("at", "side").rowsBetween(1, Window.unboundedFollowing)
+        later = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+        firsts = both.groupBy("_range").agg(F.min("by").alias("_by")).select("_range", F.min("_by").over(later).alias("_later"))
+        found = both.withColumn("_own", F.min("by").over(after)).where("side = 1").join(firsts, "_range").withColumn("_end", F.coalesce("_own", "_later"))
         end = F.when(F.col("_end").isNotNull(), F.greatest("_end", "of"))  # greatest alone would pass over the null
         return found.select(F.col("of").alias("_block"), end.alias("_end"), "_time")
 
@@ -120,9 +140,9 @@ class ViewPlan:
         two ranges at most and the range condition becomes a join on key and range.
         """
         placed = partials.join(spans.select("_block", "_end"), "_block")
-        widest = spans.agg(F.max(F.coalesce("_end", F.lit(0)) - F.col("_block")), F.max("_block")).first()
-        last = (widest[1] or 0) + 1
-        size = max(1, widest[0] or 1, (spans.where("_end is null").agg(F.max(F.lit(last) - F.col("_block"))).first()[0]) or 1)
+        widest, latest, oldest = spans.agg(F.max(F.col("_end") - F.col("_block")), F.max("_block"), F.min(F.when(F.col("_end").isNull(), F.col("_block")))).first()
+        last = (latest or 0) + 1
+        size = max(1, widest or 1, last - oldest if oldest is not None else 1)
         end = F.coalesce("_end", F.lit(last).cast("long"))
         over = lambda c: F.floor(c / F.lit(size)).cast("long")
         key = F.struct(*self.keys).alias("_key") if self.keys else F.struct(F.lit(1).alias("_")).alias("_key")

@@ -68,8 +68,7 @@ class Dataflow:
 
     def state(self, view: str, upto: int | None = None) -> DataFrame:
         """The view after block ``upto``, or after all blocks."""
-        plan = self.views[view]
-        return plan.state(self.partials(view, upto), self.spans(view, upto))
+        return self.views[view].whole(self._upto(view, upto), self.spans(view, upto))
 
     def changelog(self, view: str, upto: int | None = None) -> DataFrame:
         return self.views[view].changelog(self.partials(view, upto), self.spans(view, upto))

@@ -215,7 +215,19 @@ class Engine:
         plan = self._dag()[1][name]
         if not plan.view.sliding:
             return None
-        return plan.spans(self._read(manifest, f"times/{name}", "_block").groupBy("_block").agg(F.max("_time").alias("_time")))
+        times = self._read(manifest, f"times/{name}", "_block").groupBy("_block").agg(F.max("_time").alias("_time"))
+        for block, time_ in manifest.expired.get(name, []):
+            times = times.where(~F.coalesce((F.col("_block") <= block) & (F.col("_time") < time_), F.lit(False)))
+        return plan.spans(times)
+
+    def _roll_back(self, after: Manifest, fork: int) -> None:
+        """Forget the blocks after ``fork``. The watermark of a rolling view falls to that of the blocks that stay, but what has
+        expired by now stays out."""
+        after.cut(fork)
+        for name, plan in self._dag()[1].items():
+            if plan.view.sliding and (times := self._read(self.manifest, f"times/{name}", "_block")) is not None:
+                if (mark := times.agg(F.max("_time")).first()[0]) is not None:
+                    after.expire(name, fork, mark - plan.view.sliding.width_ms)
 
     # gates
     def _gate(self) -> None:
@@ -256,7 +268,7 @@ class Engine:
             raise RollbackError("no block in common with the chain")
         self._check_depth(cursor.number)
         after = self.manifest.copy()
-        after.cut(cursor.number)
+        self._roll_back(after, cursor.number)
         after.hashes |= {str(c.number): c.hash for c in chain if c.number <= cursor.number}
         return cursor, self._finish(after, {}, cursor.number, uuid.uuid4().hex)
 
@@ -290,7 +302,7 @@ class Engine:
         fork = self._inline_fork(chain, finalized_head)
         if fork is not None:
             self._check_depth(fork)
-            after.cut(fork)
+            self._roll_back(after, fork)
         rows, bounds, tag = {}, {}, uuid.uuid4().hex
         for name in sorted(data):
             table = self.schema.tables[name]
@@ -417,6 +429,7 @@ class Engine:
             touched = None if plan.view.sliding or not plan.keys else lost.select(*plan.keys).distinct()
             cut = self.manifest.copy()
             cut.cut(fork)
+            cut.expired = after.expired
             then = self._view(cut, name, touched)
             logs.append(changes.diff(self._view(self.manifest, name, touched), then, plan.keys, plan.values).withColumn("_order", F.lit(fork).cast("long")))
         if rows is not None:
@@ -438,9 +451,21 @@ class Engine:
         whole = logs[0] if len(logs) == 1 else logs[0].unionByName(logs[1])
         return changes.merge(whole, plan.keys, plan.values)
 
+    def _merge(self, after: Manifest, key: str, block: str, tag: str) -> None:
+        """Make one segment of ``compact_after`` of the same level: a row is written again as often as the number of segments has
+        digits, and the manifest stays short."""
+        level = 0
+        while len(same := [s for s in after.segments[key] if s.level == level]) > self.compact_after:
+            merged = self.store.write(self.store.read(same, block), key, f"{tag}-{level + 1}")
+            merged.level = level + 1
+            after.segments[key] = [*(s for s in after.segments[key] if s.level != level), merged]
+            level += 1
+
     def _compact(self, after: Manifest, tag: str) -> None:
         """Merge the finalized part of views and states once they lie in many segments."""
         _, views = self._dag()
+        for key in [k for k in after.segments if k.split("/")[0] in ("raw", "emits", "times")]:
+            self._merge(after, key, "_block" if key.startswith("times/") else "block_number", tag)
         for name, plan in views.items():
             key = f"partials/{name}"
             if not plan.view.sliding and len(after.segments.get(key, [])) > self.compact_after:
@@ -448,7 +473,7 @@ class Engine:
         for r in self.schema.reducers.values():
             key = f"snapshots/{r.name}"
             if len(after.segments.get(key, [])) > self.compact_after:
-                held = self._read(after, key, "block_number")
+                held = self._read(after, key, "block_number").select(*r.group_by, "block_number", STATE_JSON)
                 f = min(after.finalized, after.latest)
                 old = held.where(F.col("block_number") <= f).groupBy(*r.group_by).agg(F.max("block_number").alias("block_number"), F.max_by(STATE_JSON, "block_number").alias(STATE_JSON))
                 after.segments[key] = [self.store.write(old.unionByName(held.where(F.col("block_number") > f)), key, f"{tag}-compact")]

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Segment:
-    """A Parquet folder; rows with ``block`` above ``limit`` don't count any more."""
+    """A Parquet folder; rows with ``block`` above ``limit`` don't count any more. ``level``: how often its rows were merged."""
 
     path: str
     limit: int | None = None
+    level: int = 0
 
 
 @dataclass
@@ -31,6 +32,8 @@ class Manifest:
     hashes: dict[str, str] = field(default_factory=dict)
     next_sequence: int = 1
     segments: dict[str, list[Segment]] = field(default_factory=dict)
+    #: By rolling view, (block, time): the blocks up to it with an earlier time had expired when a fork came, and stay so.
+    expired: dict[str, list[list[int]]] = field(default_factory=dict)
 
     def copy(self) -> Manifest:
         return Manifest.load(self.dump())
@@ -52,6 +55,12 @@ class Manifest:
         self.latest = min(self.latest, fork)
         self.hashes = {k: v for k, v in self.hashes.items() if int(k) <= fork}
         self.latest_hash = self.hashes.get(str(self.latest))
+        self.expired = {v: [[min(b, fork), t] for b, t in marks] for v, marks in self.expired.items()}
+
+    def expire(self, view: str, block: int, time: int) -> None:
+        """Blocks of ``view`` up to ``block`` with a time before ``time`` don't come back."""
+        marks = [*self.expired.get(view, []), [block, time]]
+        self.expired[view] = [m for m in marks if not any(o != m and o[0] >= m[0] and o[1] >= m[1] for o in marks)]
 
 
 class Store:

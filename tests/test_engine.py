@@ -168,6 +168,41 @@ def test_msgpack(spark):
     assert found == [{"table": "v", "operation": "insert", "key": {"k": "a"}, "values": {"k": "a", "s": 1.0}, "prevValues": None}, {"table": "v", "operation": "update", "key": {"k": "b"}, "values": {"k": "b", "s": 2.0}, "prevValues": {"s": 1.0}}]
 
 
+def test_expired_blocks_stay_expired_after_a_fork(spark, tmp_path):
+    ddl = "CREATE TABLE t (k String, at DateTime, x Float64); CREATE MATERIALIZED VIEW v AS SELECT k, sum(x) AS s FROM t GROUP BY k WINDOW SLIDING INTERVAL 10 SECONDS BY at"
+    e = Engine.open(spark, ddl, str(tmp_path))
+    tick = lambda b, at, x: {"block_number": b, "k": "a", "at": at, "x": x}
+    e.ack(e.ingest({"t": [tick(1, 0, 1.0), tick(2, 8000, 2.0)]}, chain(1, 2)).sequence)
+    e.ack(e.ingest({"t": [tick(3, 15_000, 4.0)]}, chain(3)).sequence)  # block 1 expires
+    assert rows(e.view("v")) == [("a", 6.0)]
+    _, undo = e.handle_fork(chain(1, 2))
+    assert rows(undo.tables["v"]) == [("update", "a", 2.0, 6.0)]  # block 1 does not come back
+    e.ack(undo.sequence)
+    again = Engine.open(spark, ddl, str(tmp_path))
+    b = again.ingest({"t": [tick(3, 1000, 8.0)]}, chain(3, tag="x"))  # the watermark is 8000 again, so this block counts
+    assert rows(b.tables["v"]) == [("update", "a", 10.0, 2.0)]
+
+
+def test_failed_ingest_and_merged_segments(spark, tmp_path):
+    ddl = SWAPS + "CREATE REDUCER r SOURCE swaps GROUP BY pool STATE (n Int64 DEFAULT 0) LANGUAGE lua PROCESS $$ if row.amount < 0 then error('negative') end state.n = state.n + 1 emit({n = state.n}) $$;"
+    e = Engine.open(spark, ddl, str(tmp_path), compact_after=2)
+    swap = lambda b, amount: {"swaps": [{"block_number": b, "pool": "p", "amount": amount}]}
+    for b in range(1, 8):
+        if b == 3:
+            with pytest.raises(Exception, match="negative"):
+                e.ingest(swap(3, -1.0), chain(3))
+            assert e.latest_block == 2 and not e.is_awaiting_ack and rows(e.view("v")) == [("p", 3.0, 2)]
+        e.ack(e.ingest(swap(b, float(b)), chain(b)).sequence)
+    assert len(e.manifest.segments["raw/swaps"]) < 5 and len(e.manifest.segments["emits/r"]) < 5
+    assert [r.block_number for r in e.raw("swaps").orderBy("block_number").collect()] == list(range(1, 8))
+    _, undo = e.handle_fork(chain(2))
+    e.ack(undo.sequence)
+    assert rows(e.raw("swaps").select("block_number")) == [(1,), (2,)] and rows(e.view("v")) == [("p", 3.0, 2)]
+    e.ack(e.ingest(swap(3, 5.0), chain(3, tag="x")).sequence)
+    held = e._read(e.manifest, "emits/r", "block_number")
+    assert rows(held.select("block_number", "n")) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_poisoned_after_a_failed_commit(spark, tmp_path, monkeypatch):
     e = Engine.open(spark, SWAPS, str(tmp_path))
     monkeypatch.setattr(e.store, "write_manifest", lambda manifest: (_ for _ in ()).throw(OSError("full")))
