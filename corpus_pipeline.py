@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 ``documents``. Results are written as Parquet and read again between stages.
+
+Defined results, in every stage: a null text stays null and counts as empty, and its row stays unless it repeats another stage's
+reason to go (an empty text is toxic by the model's bias only, has no lines to lose and no near copies); texts of any length are
+read whole; rows of one id are one document, which stays or goes as a whole in near_dedup, and whose rows fare alike elsewhere;
+null ids count as one document below all others; an empty table goes through all stages; other columns, whatever their names, are
+kept up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -62,10 +68,18 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what stages hand on lies in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     home = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, folder = stage(spark, docs, sf_dir), f"{home}/{k}-{name}"
         if k + 1 < len(STAGES):
-            docs.write.parquet(f"{home}/{k}-{name}")
-            docs = spark.read.parquet(f"{home}/{k}-{name}")
+            docs.write.parquet(folder)
+            docs = spark.read.parquet(folder)
+            if before:  # nothing reads it any more
+                _remove(spark, before)
+            before = folder
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
