@@ -5,6 +5,7 @@ import pytest
 from rollview.ddl.model import Column, Native, Reducer, StateField
 from rollview.errors import InvalidOperation, PendingAck, Poisoned, RollbackError, SchemaError, WrongAckSequence
 from rollview.ddl.parser import parse
+from rollview.operators.reducers import ReducerPlan
 from rollview.plans.dataflow import Dataflow
 from rollview.plans.engine import Cursor, Engine
 from rollview.plans.pipeline import Pipeline, agg, interval, parse_duration
@@ -203,6 +204,32 @@ def test_failed_ingest_and_merged_segments(spark, tmp_path):
     assert rows(held.select("block_number", "n")) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_small_print_of_schemas():
+    ddl = """-- a table
+    CREATE TABLE t (k String, x Float64); CREATE REDUCER r SOURCE t GROUP BY k -- by key
+      STATE (a String DEFAULT 'it''s', b UInt64 DEFAULT x1, c Boolean DEFAULT true, d Boolean DEFAULT 0, e Float64 DEFAULT -1.5, f UInt256 DEFAULT 7, g JSON DEFAULT '[1]')
+      WHEN row.x > 0 THEN EMIT y = 'a''b' -- quoted
+    END;"""
+    (r,) = parse(ddl).reducers.values()
+    plan = ReducerPlan(r, {"k": "String", "x": "Float64"})
+    assert plan.defaults() == {"a": "it's", "b": 0, "c": True, "d": False, "e": -1.5, "f": bytes(32), "g": [1]}
+    assert r.body.whens[0].actions[0].items[0][1].value == "a'b"
+
+
+def test_heads_without_rows(spark, tmp_path):
+    """Finality only grows and may run ahead; heads alone change no view, not a rolling one either."""
+    ddl = "CREATE TABLE t (k String, at DateTime, x Float64); CREATE MATERIALIZED VIEW v AS SELECT k, sum(x) AS s FROM t GROUP BY k WINDOW SLIDING INTERVAL 1 SECOND BY at"
+    e = Engine.open(spark, ddl, str(tmp_path), compact_after=1)
+    for b in (1, 2, 3):
+        e.ack(e.ingest({"t": [{"block_number": b, "k": "a", "at": 100 * b, "x": 1.0}]}, chain(b)).sequence)
+    assert e.ingest({}, (), Cursor(9, "h9")) is None and e.finalized_cursor == Cursor(9, "h9") and e.latest_block == 3
+    with pytest.raises(InvalidOperation):
+        e.ingest({}, (), Cursor(8, "h8"))
+    assert rows(e.view("v")) == [("a", 3.0)]
+    parts = e._read(e.manifest, "partials/v", "_block")
+    assert rows(parts.select("_block")) == [(1,), (2,), (3,)]  # each block may still expire by itself
+
+
 def test_poisoned_after_a_failed_commit(spark, tmp_path, monkeypatch):
     e = Engine.open(spark, SWAPS, str(tmp_path))
     monkeypatch.setattr(e.store, "write_manifest", lambda manifest: (_ for _ in ()).throw(OSError("full")))
