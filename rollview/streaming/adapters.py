@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..errors import InvalidOperation
 from ..functions.aggregates import ORDER
 from ..functions.types import spark_type
-from ..operators.reducers import ReducerPlan
+from ..operators.reducers import ReducerPlan, _bytes_out
 from ..plans.dataflow import typed_rows
 from ..plans.engine import ChangeBatch, Cursor, Engine
 
@@ -92,17 +92,19 @@ def stream_reducer(plan: ReducerPlan, rows: DataFrame) -> DataFrame:
     """What a reducer emits over a stream of ordered rows, as an append-only stream. Rows are put in order within each
     micro-batch; across batches they must come in order."""
     keys, types, process = list(plan.reducer.group_by), plan.out_types(), plan.process
+    if getattr(process, "by_block", False):
+        raise InvalidOperation(f"reducer {plan.reducer.name!r} takes whole blocks, which keyed streaming state does not know")
     defaults, wanted, order = plan.defaults(), [c for c in plan.types if c in rows.columns], list(ORDER)
 
     def fold(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(defaults))
+        held = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(defaults, default=_bytes_out))
         group = pd.concat(list(groups)).sort_values(order, kind="stable")
         out = []
         for row in group.to_dict("records"):
             known = {c: None if pd.isna(row[c]) else row[c] for c in wanted}
             for k, e in enumerate(process(held, known)):
                 out.append((*(e.get(c, known.get(c)) if c in keys else e.get(c) for c in types), row["block_number"], row["_row_index"], k))
-        state.update((json.dumps(held),))
+        state.update((json.dumps(held, default=_bytes_out),))
         yield pd.DataFrame(out, columns=[*types, *order])
 
     schema = T.StructType([T.StructField(c, spark_type(t)) for c, t in types.items()] + [T.StructField(c, T.LongType()) for c in order])

@@ -55,16 +55,20 @@ def test_stream_rejects_old_blocks_that_are_no_replay(spark, tmp_path, late):
     assert rows(engine.view("v")) == before
 
 
-def test_stream_reducer(spark, tmp_path):
-    ddl = DDL + "CREATE REDUCER r SOURCE t GROUP BY k STATE (s Float64 DEFAULT 0) WHEN row.x > 0 THEN SET state.s = state.s + row.x EMIT run = state.s END;"
+@pytest.mark.parametrize("body", [
+    "STATE (s Float64 DEFAULT 0) WHEN row.x > 0 THEN SET state.s = state.s + row.x EMIT run = state.s END;",
+    "STATE (held JSON DEFAULT '[]') LANGUAGE lua PROCESS $$ table.insert(state.held, row.x) local s = 0.0 for _, x in ipairs(state.held) do s = s + x end emit({run = s}) $$;",
+])
+def test_stream_reducer(spark, tmp_path, body):
+    ddl = DDL + "CREATE REDUCER r SOURCE t GROUP BY k " + body
     source = tmp_path / "in"
     write_blocks(spark, source, range(1, 6))
     flow = Dataflow(ddl, {"t": spark.read.parquet(str(source))})
     stream = spark.readStream.schema(SCHEMA).parquet(str(source)).withColumn("_emit_index", F.lit(0).cast("long"))
-    out = stream_reducer(flow.reducers["r"], stream).writeStream.format("memory").queryName("emitted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out = stream_reducer(flow.reducers["r"], stream).writeStream.format("memory").queryName("emitted" + str(len(body))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     out.awaitTermination()
     same = flow.source("r").select("run", "k", "block_number", "_row_index")
-    assert rows(spark.table("emitted").select("run", "k", "block_number", "_row_index")) == rows(same)
+    assert rows(spark.table("emitted" + str(len(body))).select("run", "k", "block_number", "_row_index")) == rows(same)
 
 
 def test_sources(spark, tmp_path):
