@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -67,10 +69,21 @@ def stretches(text: str, spans: list[tuple[int, int]], beside: int = 3, every: i
     return tokens, list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+#: Classes of ASCII characters: digits, capitals and small letters; the others stand for themselves.
+_ASCII = str.maketrans({**dict.fromkeys(string.digits, "9"), **dict.fromkeys(string.ascii_uppercase, "A"), **dict.fromkeys(string.ascii_lowercase, "a")})
+_RUN = re.compile(r"([\s\S])\1+")
+_HEX_WORD = re.compile(r"[0-9a-fA-F]{16,}").fullmatch
+
+
+def classes(token: str) -> str:
+    if token.isascii():
+        return token.translate(_ASCII)
+    return "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
+
+
 def shape(token: str) -> str:
     """Classes of characters in order, runs cut to one: ``Ab9`` is ``Aa9``."""
-    kinds = ["9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64]]
-    return "".join(k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k)[:8]
+    return _RUN.sub(r"\1", classes(token))[:8]
 
 
 def file_features(text: str) -> list[str]:
@@ -83,15 +96,16 @@ def file_features(text: str) -> list[str]:
 BESIDE = (-2, -1, 1, 2)
 
 
+def traits(w: str) -> tuple:
+    """All that a word's own features say of it; few words differ in it."""
+    kinds, n = classes(w), len(w)
+    digits, upper = kinds.count("9"), kinds.count("A")
+    return _RUN.sub(r"\1", kinds)[:8], min(n // 4, 12), bool(digits), bool(upper), kinds.count("a") > 0, min(len(set(w)) // 3, 8), n >= 16, 4 * digits // n, n >= 12, _HEX_WORD(w) is not None
+
+
 def own_features(w: str) -> list[str]:
-    digits, upper = sum(c.isdigit() for c in w), sum(c.isupper() for c in w)
-    letters = sum(c.isalpha() for c in w)
-    kinds = len(set(w[:64]))
-    return [
-        "bias", f"shape:{shape(w)}", f"size:{min(len(w) // 4, 12)}", f"mix:{bool(digits)}{bool(upper)}{letters > upper}",
-        f"distinct:{min(kinds // 3, 8)}:{len(w) >= 16}", f"digits:{int(4 * digits / len(w))}:{len(w) >= 12}",
-        f"hex:{len(w) >= 16 and all(c in '0123456789abcdefABCDEF' for c in w)}",
-    ]
+    shape_, size, digit, upper, lower, distinct, long, share, wide, hex_ = traits(w)
+    return ["bias", f"shape:{shape_}", f"size:{size}", f"mix:{digit}{upper}{lower}", f"distinct:{distinct}:{long}", f"digits:{share}:{wide}", f"hex:{hex_}"]
 
 
 def beside_form(w: str) -> str:
@@ -137,19 +151,30 @@ class ChainField:
             tags.append(int(pointers[tags[-1]]))
         return tags[::-1]
 
+    @property
+    def leaving(self) -> float:
+        """The most that a run's end can gain."""
+        return float(self.move[[B, I], O].max() - self.move[O, O])
+
+    def bounds(self, gains: np.ndarray) -> np.ndarray:
+        """The most that each token can gain by being begin or inside; ``gains``: how far these lie above outside. A text's first
+        token, which has no move before it, can gain what it does by being begin as well."""
+        stay = self.move[O, O]
+        return np.maximum(gains[:, 0] + self.move[:, B].max() - stay, gains[:, 1] + self.move[[B, I], I].max() - stay)
+
     def tags(self, scores: np.ndarray) -> np.ndarray:
         """The best tags of a whole text. A run of tokens that are not outside gains at most the sum of its tokens' bounds and
         one for its end; a token that no run with a gain can hold is outside, and the rest is decoded between such."""
         out, n = np.zeros(len(scores), dtype=np.int8), len(scores)
         if not n:
             return out
-        gain, stay = scores - scores[:, :1], self.move[O, O]
-        bound = np.maximum(gain[:, B] + self.move[:, B].max() - stay, gain[:, I] + self.move[[B, I], I].max() - stay)
-        bound[0] = max(bound[0], gain[0, B])
+        gains = scores[:, 1:] - scores[:, :1]
+        bound = self.bounds(gains)
+        bound[0] = max(bound[0], gains[0, 0])
         whole = np.cumsum(bound)
         ahead = np.concatenate([[0.0], whole[:-1]])
         most = np.maximum.accumulate(whole[::-1])[::-1] - np.minimum.accumulate(ahead)  # of all runs that hold the token
-        maybe = most + max(0.0, self.move[[B, I], O].max() - stay) > -1e-6
+        maybe = most + max(0.0, self.leaving) > -1e-6
         edges = np.flatnonzero(np.diff(np.concatenate([[False], maybe, [False]])))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             out[a:b] = self.best_path(scores[a:b], a > 0, b < n)
@@ -241,7 +266,8 @@ def fit_field(docs: DataFrame, with_spans: int = 1500, without: int = 1500, id_c
     of their id. Chains and tags come from the whole texts, on the executors; at most ``chains`` with a span and as many
     without, drawn by a hash of their content, go to the driver."""
     text = F.col(text_col)
-    hit = text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    named = reduce(lambda a, b: a | b, (F.lower(text).contains(n) for n in _NAMES))  # cheap, and false for most texts
+    hit = named & text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]") | text.contains("AKIA") & text.rlike("AKIA[A-Z0-9]{16}") | text.rlike("[0-9a-f]{24}")
     drawn = cut(docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), hit.alias("hit"), F.xxhash64(F.col(id_col), F.lit("field")).alias("o")))
     chosen = drawn.where("hit").orderBy("o", "id").limit(with_spans).unionByName(drawn.where("not hit").orderBy("o", "id").limit(without))
     bounded = F.broadcast(chosen.select("id").distinct())  # at most with_spans + without ids
@@ -261,66 +287,125 @@ def fit_field(docs: DataFrame, with_spans: int = 1500, without: int = 1500, id_c
     return train_field([([t.split(" ") for t in r.tokens], list(r.tags)) for r in sample.orderBy("o").collect()])
 
 
+class _Numbers(dict):
+    """Words by the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Scanner:
-    """All spans of a text: the base ones, and those of the field that meet none."""
+    """All spans of texts: the base ones, and those of the field that meet none.
+
+    Texts are scored together, about a million characters at a time. What counts of a score is how far begin and inside lie
+    above outside; a word adds a fixed amount to that at its own place and at those beside it, so a text's scores are sums of
+    five rows of one table. Texts in which no token can gain by not being outside, by a bound, need no decoding.
+    """
 
-    def __init__(self, model: ChainField, most: int = 200_000):
-        """Scores of a word, for its own place and those beside it, are kept; beyond ``most`` words they are dropped."""
-        self.model, self.most = model, most
-        self.number: dict[str, int] = {}
-        self.own: dict[tuple[str, ...], np.ndarray] = {}  # by features: few words differ in all of them
+    def __init__(self, model: ChainField, most: int = 200_000, together: int = 1_000_000):
+        """Amounts of a word are kept; beyond ``most`` words they are dropped."""
+        self.model, self.most, self.together = model, most, together
+        self.own: dict[tuple, np.ndarray] = {}  # by traits
         self.beside: dict[str, np.ndarray] = {}
+        places = [str(b) for b in BESIDE]
         for f, at in model.index.items():
             step, _, form = f.partition(":")
-            if step in map(str, BESIDE):
-                k = 3 * BESIDE.index(int(step))
-                self.beside.setdefault(form, np.zeros(3 * len(BESIDE)))[k : k + 3] = model.emit[at]
-        self.known: np.ndarray = np.zeros((0, 3 * (1 + len(BESIDE))))
-
-    def scores(self, words: list[str], of_file: list[str]) -> np.ndarray:
-        """(words x tags) scores of all tokens of a text."""
-        if len(self.number) > self.most:
-            self.number, self.own, self.known = {}, {}, self.known[:0]
-        number, had = self.number, len(self.number)
-        ids = np.array([number.setdefault(w, len(number)) for w in ("", "", *words, "", "")], dtype=np.int64)
-        if len(number) > had:
-            new = list(islice(reversed(number), len(number) - had))[::-1]
-            rows = np.zeros((len(new), self.known.shape[1]))
-            for row, w in zip(rows, new, strict=True):
-                if w:
-                    features = tuple(own_features(w))
-                    if features not in self.own:
-                        self.own[features] = self.model.score(features)
-                    row[:3] = self.own[features]
-                if (seen := self.beside.get(beside_form(w))) is not None:
-                    row[3:] = seen
-            if len(number) > len(self.known):
-                self.known = np.concatenate([self.known[:had], np.zeros((max(had, len(new), 1024), rows.shape[1]))])
-            self.known[had : len(number)] = rows
-        n = len(words)
-        out = self.known[ids[2 : n + 2], :3] + self.model.score(of_file)
+            if step in places:
+                k = 2 + 2 * places.index(step)
+                self.beside.setdefault(form, np.zeros(2 + 2 * len(BESIDE)))[k : k + 2] = _gains(model.emit[at])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.known = _Numbers(), np.zeros((0, 2 + 2 * len(BESIDE)))
+
+    def _learn(self) -> None:
+        """Amounts of the words that were numbered since the last time."""
+        had = len(self.seen)
+        new = list(islice(reversed(self.numbers), len(self.numbers) - had))[::-1]
+        rows = np.zeros((len(new), self.known.shape[1]))
+        for row, w in zip(rows, new, strict=True):
+            if (seen := self.beside.get(beside_form(w))) is not None:
+                row += seen
+            if w:
+                if (own := self.own.get(key := traits(w))) is None:
+                    own = self.own[key] = _gains(self.model.score(own_features(w)))
+                row[:2] = own
+        if len(self.numbers) > len(self.known):
+            self.known = np.concatenate([self.seen, np.zeros((max(had, len(new), 1024), rows.shape[1]))])
+        self.known[had : len(self.numbers)] = rows
+        self.seen = self.known[: len(self.numbers)]
+
+    def gains(self, texts: list[list[str]], files: np.ndarray) -> np.ndarray:
+        """How far begin and inside lie above outside, for all words of ``texts``, one after another; ``files``: what the
+        features of each text add."""
+        if len(self.numbers) > self.most:
+            self._forget()
+        self.seen = self.known[: len(self.numbers)]
+        words = [w for t in texts for w in (*t, "", "")]  # nothing stands beside a text's ends
+        ids = np.fromiter(map(self.numbers.__getitem__, ["", "", *words]), np.int64, len(words) + 2)
+        if len(self.numbers) > len(self.seen):
+            self._learn()
+        each, n = self.known[ids], len(words)
+        out = each[2:, :2].copy()
         for k, step in enumerate(BESIDE, 1):
-            out += self.known[ids[2 + step : n + 2 + step], 3 * k : 3 * k + 3]
+            lo, hi = max(0, 2 + step), min(n + 2, n + 2 + step)
+            out[lo - 2 - step : hi - 2 - step] += each[lo:hi, 2 * k : 2 * k + 2]
+        counts = np.array([len(t) for t in texts])
+        keep = np.ones(n, dtype=bool)
+        ends = np.cumsum(counts + 2)
+        keep[ends - 1] = keep[ends - 2] = False
+        return out[keep] + np.repeat(files, counts, axis=0)
+
+    def many(self, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+        """(base spans, all spans) of every text."""
+        out, start, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= self.together or k + 1 == len(texts):
+                out += self._some(texts[start : k + 1])
+                start, size = k + 1, 0
         return out
 
-    def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        if not self.model.index:
-            return []
-        words = _TOKEN.findall(text)
-        tags = self.model.tags(self.scores(words, file_features(text))) if words else np.zeros(0)
-        if not tags.any():
-            return []
+    def _some(self, texts: list[str]) -> list:
+        base = [base_spans(t) for t in texts]
+        added: list[list] = [[] for _ in texts]
+        if self.model.index:
+            words = [_TOKEN.findall(t) for t in texts]
+            gains = self.gains(words, np.array([_gains(self.model.score(file_features(t))) for t in texts]))
+            ends, bound = np.cumsum([len(w) for w in words]), self.model.bounds(gains)
+            first = np.array([e - len(w) for e, w in zip(ends.tolist(), words, strict=True) if w], dtype=np.int64)
+            bound[first] = np.maximum(bound[first], gains[first, 0])
+            least = -max(0.0, self.model.leaving) - 1e-6
+            able = np.unique(np.searchsorted(ends, np.flatnonzero(bound > least), side="right"))
+            for k in able.tolist():
+                a, b = int(ends[k]) - len(words[k]), int(ends[k])
+                tags = self.model.tags(np.column_stack([np.zeros(b - a), gains[a:b]]))
+                if tags.any():
+                    added[k] = self._spans(texts[k], tags, base[k])
+        return [(b, sorted([*b, *more], key=lambda s: (s[0], s[2]))) for b, more in zip(base, added, strict=True)]
+
+    def _spans(self, text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         spans: list[list[int]] = []
         for m, tag in zip(_TOKEN.finditer(text), tags.tolist(), strict=True):
             if tag == B:
                 spans.append([*m.span()])
             elif tag == I:
                 spans[-1][1] = m.end()
-        return [(a, b, 3) for a, b in spans if not any(x < b and a < y for x, y, _ in base)]
+        out, k, reach = [], 0, 0
+        for a, b in spans:  # both by start; ``reach``: how far the base spans that start before ``b`` go
+            while k < len(base) and base[k][0] < b:
+                reach, k = max(reach, base[k][1]), k + 1
+            if reach <= a:
+                out.append((a, b, 3))
+        return out
 
     def __call__(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        base = base_spans(text)
-        return base, sorted([*base, *self.added(text, base)], key=lambda s: (s[0], s[2]))
+        return self.many([text])[0]
+
+
+def _gains(scores: np.ndarray) -> np.ndarray:
+    return scores[1:] - scores[0]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -334,7 +419,7 @@ def scan_secrets(docs: DataFrame, model: ChainField, id_col: str = "doc_id", tex
         scan = Scanner(model)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [scan(t) for t in batch.column(1).to_pylist()]
+            found = scan.many(batch.column(1).to_pylist())
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in range(3)]
             digests = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string())
             return pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([_joined(s) for _, s in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
@@ -363,7 +448,8 @@ def redact(docs: DataFrame, model: ChainField, text_col: str = "text") -> DataFr
         scan = Scanner(model)
         for whole in batches:
             for batch in slices(whole, place):
-                new = pa.array([t if t is None else redacted(t, scan(t)[1]) for t in batch.column(place).to_pylist()], pa.string())
+                texts = batch.column(place).to_pylist()
+                new = pa.array([t if t is None else redacted(t, spans) for t, (_, spans) in zip(texts, scan.many([t or "" for t in texts]), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([new if k == place else batch.column(k) for k in range(batch.num_columns)], names=batch.schema.names)
 
     return docs.mapInArrow(clean, docs.schema)
