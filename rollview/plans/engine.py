@@ -444,6 +444,7 @@ class Engine:
                     touched = fresh.select(*plan.keys).distinct()
                     on = [F.col(f"p.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in plan.keys]
                     everything = everything.alias("p").join(touched.alias("t"), on, "left_semi")
+                    everything = plan.compact(everything, base)  # what lies before the batch is one row per key
                 log = plan.changelog(everything)
             logs.append(log.where(F.col("_block") > base).withColumnRenamed("_block", "_order"))
         if not logs:
