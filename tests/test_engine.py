@@ -14,8 +14,8 @@ from rollview.sources.rows import msgpack_tables, to_msgpack_records
 from rollview.sources.sinks import SnapshotTable
 from rollview.streaming.adapters import Fork, follow
 
-SWAPS = """CREATE TABLE swaps (pool String, amount Float64);
-CREATE MATERIALIZED VIEW v AS SELECT pool, sum(amount) AS total, count() AS n FROM swaps GROUP BY pool;"""
+PARCELS = """CREATE TABLE parcels (depot String, weight Float64);
+CREATE MATERIALIZED VIEW v AS SELECT depot, sum(weight) AS total, count() AS n FROM parcels GROUP BY depot;"""
 METERS = """CREATE TABLE readings (meter String, kind String, kwh Float64, tariff Float64);
 CREATE REDUCER bill SOURCE readings GROUP BY meter STATE (credit Float64 DEFAULT 5, peak Float64 DEFAULT 0)
   WHEN row.kind = 'feed' THEN LET worth = row.kwh * row.tariff / 2 SET state.credit = state.credit + worth EMIT paid = 0
@@ -35,37 +35,37 @@ def rows(df):
 
 
 def test_protocol(spark, tmp_path):
-    e = Engine.open(spark, SWAPS, str(tmp_path))
-    batch = e.ingest({"swaps": [{"block_number": k, "pool": "ETH", "amount": 10.0 * k} for k in range(1, 6)]}, chain(*range(1, 6)), Cursor(1, "h1"))
-    assert rows(batch.tables["v"]) == [("insert", "ETH", 150.0, 5, None, None)]
+    e = Engine.open(spark, PARCELS, str(tmp_path))
+    batch = e.ingest({"parcels": [{"block_number": k, "depot": "east", "weight": 10.0 * k} for k in range(1, 6)]}, chain(*range(1, 6)), Cursor(1, "h1"))
+    assert rows(batch.tables["v"]) == [("insert", "east", 150.0, 5, None, None)]
     with pytest.raises(PendingAck):
         e.ingest({})
     with pytest.raises(WrongAckSequence):
         e.ack(batch.sequence + 1)
-    again = Engine.open(spark, SWAPS, str(tmp_path))  # a crash before the acknowledgement: nothing was taken in
+    again = Engine.open(spark, PARCELS, str(tmp_path))  # a crash before the acknowledgement: nothing was taken in
     assert again.latest_block == 0 and again.view("v") is None
     e.ack(batch.sequence)
     e.ack(batch.sequence)
     cursor, undo = e.handle_fork([Cursor(5, "x5"), Cursor(3, "x3"), Cursor(2, "h2")])
     assert cursor == Cursor(2, "h2")
-    assert rows(undo.tables["v"]) == [("update", "ETH", 30.0, 2, 150.0, 5)]
-    assert len(rows(undo.tables["swaps"])) == 3
+    assert rows(undo.tables["v"]) == [("update", "east", 30.0, 2, 150.0, 5)]
+    assert len(rows(undo.tables["parcels"])) == 3
     e.ack(undo.sequence)
     with pytest.raises(InvalidOperation):
-        e.ingest({"swaps": [{"block_number": 2, "pool": "ETH", "amount": 1.0}]})
+        e.ingest({"parcels": [{"block_number": 2, "depot": "east", "weight": 1.0}]})
     with pytest.raises(RollbackError):
         e.handle_fork([Cursor(2, "nobody")])
-    reopened = Engine.open(spark, SWAPS, str(tmp_path))
+    reopened = Engine.open(spark, PARCELS, str(tmp_path))
     assert reopened.latest_cursor == Cursor(2, "h2")
-    assert rows(reopened.view("v")) == [("ETH", 30.0, 2)]
+    assert rows(reopened.view("v")) == [("east", 30.0, 2)]
     assert reopened.ingest({}, chain(3), Cursor(2, "h2")) is None and reopened.finalized_block == 2
 
 
 def test_inline_fork(spark, tmp_path):
-    e = Engine.open(spark, SWAPS, str(tmp_path))
-    b = e.ingest({"swaps": [{"block_number": k, "pool": "a", "amount": 1.0} for k in (1, 2, 3)]}, chain(1, 2, 3))
+    e = Engine.open(spark, PARCELS, str(tmp_path))
+    b = e.ingest({"parcels": [{"block_number": k, "depot": "a", "weight": 1.0} for k in (1, 2, 3)]}, chain(1, 2, 3))
     e.ack(b.sequence)
-    b = e.ingest({"swaps": [{"block_number": 3, "pool": "b", "amount": 5.0}]}, [Cursor(3, "x3"), Cursor(2, "h2")])
+    b = e.ingest({"parcels": [{"block_number": 3, "depot": "b", "weight": 5.0}]}, [Cursor(3, "x3"), Cursor(2, "h2")])
     assert rows(b.tables["v"]) == [("insert", "b", 5.0, 1, None, None), ("update", "a", 2.0, 2, 3.0, 3)]
 
 
@@ -124,9 +124,9 @@ def test_replay_and_batch_callbacks(spark, tmp_path):
 
 
 def test_follow_forks_and_failed_delivery(spark, tmp_path):
-    e, told = Engine.open(spark, SWAPS, str(tmp_path), max_buffer=2), []
-    swap = lambda b, amount: {"swaps": [{"block_number": b, "pool": "p", "amount": amount}]}
-    script = [(swap(1, 1.0), chain(1), Cursor(1, "h1")), (swap(2, 2.0), chain(2), Cursor(1, "h1")), Fork([Cursor(2, "x2"), Cursor(1, "h1")]), (swap(2, 5.0), [Cursor(2, "x2")], Cursor(1, "h1"))]
+    e, told = Engine.open(spark, PARCELS, str(tmp_path), max_buffer=2), []
+    parcel = lambda b, weight: {"parcels": [{"block_number": b, "depot": "p", "weight": weight}]}
+    script = [(parcel(1, 1.0), chain(1), Cursor(1, "h1")), (parcel(2, 2.0), chain(2), Cursor(1, "h1")), Fork([Cursor(2, "x2"), Cursor(1, "h1")]), (parcel(2, 5.0), [Cursor(2, "x2")], Cursor(1, "h1"))]
     asked = []
 
     def read(cursor):
@@ -149,7 +149,7 @@ def test_follow_forks_and_failed_delivery(spark, tmp_path):
     assert told == [[("insert", "p", 1.0, 1, None, None)], *[[("update", "p", 3.0, 2, 1.0, 1)]] * 2, [("update", "p", 1.0, 1, 3.0, 2)], [("update", "p", 6.0, 2, 1.0, 1)]]
     assert asked == [None, Cursor(2, "h2"), Cursor(1, "h1")] and not e.is_awaiting_ack
     with pytest.raises(InvalidOperation):
-        follow(e, lambda cursor: [(swap(3, 1.0), chain(3), None)], deliver)
+        follow(e, lambda cursor: [(parcel(3, 1.0), chain(3), None)], deliver)
 
 
 def test_msgpack(spark):
@@ -185,21 +185,21 @@ def test_expired_blocks_stay_expired_after_a_fork(spark, tmp_path):
 
 
 def test_failed_ingest_and_merged_segments(spark, tmp_path):
-    ddl = SWAPS + "CREATE REDUCER r SOURCE swaps GROUP BY pool STATE (n Int64 DEFAULT 0) LANGUAGE lua PROCESS $$ if row.amount < 0 then error('negative') end state.n = state.n + 1 emit({n = state.n}) $$;"
+    ddl = PARCELS + "CREATE REDUCER r SOURCE parcels GROUP BY depot STATE (n Int64 DEFAULT 0) LANGUAGE lua PROCESS $$ if row.weight < 0 then error('negative') end state.n = state.n + 1 emit({n = state.n}) $$;"
     e = Engine.open(spark, ddl, str(tmp_path), compact_after=2)
-    swap = lambda b, amount: {"swaps": [{"block_number": b, "pool": "p", "amount": amount}]}
+    parcel = lambda b, weight: {"parcels": [{"block_number": b, "depot": "p", "weight": weight}]}
     for b in range(1, 8):
         if b == 3:
             with pytest.raises(Exception, match="negative"):
-                e.ingest(swap(3, -1.0), chain(3))
+                e.ingest(parcel(3, -1.0), chain(3))
             assert e.latest_block == 2 and not e.is_awaiting_ack and rows(e.view("v")) == [("p", 3.0, 2)]
-        e.ack(e.ingest(swap(b, float(b)), chain(b)).sequence)
-    assert len(e.manifest.segments["raw/swaps"]) < 5 and len(e.manifest.segments["emits/r"]) < 5
-    assert [r.block_number for r in e.raw("swaps").orderBy("block_number").collect()] == list(range(1, 8))
+        e.ack(e.ingest(parcel(b, float(b)), chain(b)).sequence)
+    assert len(e.manifest.segments["raw/parcels"]) < 5 and len(e.manifest.segments["emits/r"]) < 5
+    assert [r.block_number for r in e.raw("parcels").orderBy("block_number").collect()] == list(range(1, 8))
     _, undo = e.handle_fork(chain(2))
     e.ack(undo.sequence)
-    assert rows(e.raw("swaps").select("block_number")) == [(1,), (2,)] and rows(e.view("v")) == [("p", 3.0, 2)]
-    e.ack(e.ingest(swap(3, 5.0), chain(3, tag="x")).sequence)
+    assert rows(e.raw("parcels").select("block_number")) == [(1,), (2,)] and rows(e.view("v")) == [("p", 3.0, 2)]
+    e.ack(e.ingest(parcel(3, 5.0), chain(3, tag="x")).sequence)
     held = e._read(e.manifest, "emits/r", "block_number")
     assert rows(held.select("block_number", "n")) == [(1, 1), (2, 2), (3, 3)]
 
@@ -231,7 +231,7 @@ def test_heads_without_rows(spark, tmp_path):
 
 
 def test_poisoned_after_a_failed_commit(spark, tmp_path, monkeypatch):
-    e = Engine.open(spark, SWAPS, str(tmp_path))
+    e = Engine.open(spark, PARCELS, str(tmp_path))
     monkeypatch.setattr(e.store, "write_manifest", lambda manifest: (_ for _ in ()).throw(OSError("full")))
     with pytest.raises(OSError):
         e.ingest({}, chain(1), Cursor(0, None))
@@ -241,13 +241,13 @@ def test_poisoned_after_a_failed_commit(spark, tmp_path, monkeypatch):
 
 
 def test_split_batches_equal_one(spark, tmp_path):
-    data = [{"block_number": k // 3 + 1, "pool": "ab"[k % 2], "amount": float(k)} for k in range(30)]
-    one, many = Engine.open(spark, SWAPS, str(tmp_path / "one")), Engine.open(spark, SWAPS, str(tmp_path / "many"), compact_after=2)
-    sink = SnapshotTable(spark, str(tmp_path / "sink"), "v", ["pool"], ["total", "n"])
-    b = one.ingest({"swaps": data})
+    data = [{"block_number": k // 3 + 1, "depot": "ab"[k % 2], "weight": float(k)} for k in range(30)]
+    one, many = Engine.open(spark, PARCELS, str(tmp_path / "one")), Engine.open(spark, PARCELS, str(tmp_path / "many"), compact_after=2)
+    sink = SnapshotTable(spark, str(tmp_path / "sink"), "v", ["depot"], ["total", "n"])
+    b = one.ingest({"parcels": data})
     one.ack(b.sequence)
     for k in (1, 4, 7, 10):
-        b = many.ingest({"swaps": [r for r in data if k <= r["block_number"] < k + 3]}, finalized_head=Cursor(max(0, k - 1), None))
+        b = many.ingest({"parcels": [r for r in data if k <= r["block_number"] < k + 3]}, finalized_head=Cursor(max(0, k - 1), None))
         assert sink.apply(b) and not sink.apply(b)
         many.ack(b.sequence)
     assert rows(one.view("v")) == rows(many.view("v")) == rows(sink.read())
