@@ -269,11 +269,11 @@ def apply_changes(spark, sf_dir):
     return rounded(table, "total")
 
 
-@query("virtual_table_changes", f"{SQL_EVENTS} SELECT 'v' AS source, event_type, count(*) AS n FROM e WHERE b <= 3 GROUP BY 2 UNION ALL SELECT 'kept', event_type, 1 FROM e WHERE b <= 3")
+@query("virtual_table_changes", f"{SQL_EVENTS} SELECT 'v' AS source, event_type, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'kept', event_type, 1 FROM e")
 def virtual_table_changes(spark, sf_dir):
     """A virtual table puts out no records of its own, another table does; the view over the virtual one does."""
     ddl = "CREATE VIRTUAL TABLE ev (event_type String); CREATE TABLE kept (event_type String); CREATE MATERIALIZED VIEW v AS SELECT event_type, count() AS n FROM ev GROUP BY event_type"
-    engine, rows = Engine.open(spark, ddl, shared_folder(spark, "engine")), stream(spark, sf_dir).where("block_number <= 3")
+    engine, rows = Engine.open(spark, ddl, shared_folder(spark, "engine")), stream(spark, sf_dir)
     tables = engine.ingest({"ev": rows, "kept": rows}).tables
     return reduce(DataFrame.unionByName, (log.select(F.lit(name).alias("source"), "event_type", (F.col("n") if "n" in log.columns else F.lit(1)).cast("long").alias("n")) for name, log in sorted(tables.items())))
 
@@ -446,6 +446,7 @@ def reducer_classifier_multi_emit(spark, sf_dir):
 
 # the engine itself: blocks of the stream go in, changes come out and are acknowledged
 _ENGINE = EVENTS + _PLAIN + ";"
+_SQL_LAST = "(SELECT max(b) FROM e)"
 
 
 def _engine(spark) -> Engine:
@@ -453,68 +454,75 @@ def _engine(spark) -> Engine:
 
 
 def _chain(first: int, last: int, tag: str = "h") -> list[Cursor]:
-    return [Cursor(k, f"{tag}{k}") for k in range(first, last + 1)]
+    return [Cursor(k, f"{tag}{k}") for k in range(max(1, first), last + 1)]
 
 
-def _blocks(spark, sf_dir, first: int, last: int | None = None) -> DataFrame:
+def _blocks(spark, sf_dir, first: int = 1, last: int | None = None) -> DataFrame:
     rows = stream(spark, sf_dir).where(F.col("block_number") >= first)
     return rows if last is None else rows.where(F.col("block_number") <= last)
 
 
-@query("fork_resolution", SQL_EVENTS + _SQL_DIFF.format("b <= 8", "SELECT * FROM e WHERE b <= 5").replace("SELECT CASE", "SELECT 5 AS cursor, CASE"))
+def _last(spark, sf_dir) -> int:
+    return stream(spark, sf_dir).agg(F.max("block_number")).first()[0]
+
+
+@query("fork_resolution", SQL_EVENTS + _SQL_DIFF.format("true", f"SELECT * FROM e WHERE b <= {_SQL_LAST} // 2").replace("SELECT CASE", f"SELECT {_SQL_LAST} // 2 AS cursor, CASE"))
 def fork_resolution(spark, sf_dir):
-    """An engine that holds blocks 1 to 8 meets a chain that agrees with its own up to block 5: where it goes back to, and what
-    it tells its consumers."""
-    engine = _engine(spark)
-    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir, 1, 8)}, _chain(3, 8)).sequence)
-    cursor, batch = engine.handle_fork([*_chain(6, 8, "x"), *_chain(3, 5)])
-    return rounded(batch.tables["v"].selectExpr(f"{cursor.number} as cursor", *_NET), "total", "prev_total")
+    """An engine that holds all blocks meets a chain that agrees with its own up to the middle: where it goes back to, and what it
+    tells its consumers."""
+    engine, last = _engine(spark), _last(spark, sf_dir)
+    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir)}, _chain(last // 2 - 2, last)).sequence)
+    cursor, batch = engine.handle_fork([*_chain(last // 2 + 1, last, "x"), *_chain(last // 2 - 2, last // 2)])
+    return rounded(batch.tables["v"].selectExpr(f"{cursor.number}L as cursor", *_NET), "total", "prev_total")
 
 
-@query("engine_inline_fork", SQL_EVENTS + _SQL_DIFF.format("b <= 8", "SELECT event_id, b, i, t, user_id, event_type, CASE WHEN b > 5 THEN 2 * value ELSE value END AS value FROM e WHERE b <= 10"))
+@query("engine_inline_fork", SQL_EVENTS + _SQL_DIFF.format(f"b <= {_SQL_LAST} * 3 // 4", f"SELECT event_id, b, i, t, user_id, event_type, CASE WHEN b > {_SQL_LAST} // 2 THEN 2 * value ELSE value END AS value FROM e"))
 def engine_inline_fork(spark, sf_dir):
-    """Blocks 6 to 10 of another chain come in: the call rolls back by itself and gives one net change per key."""
-    engine = _engine(spark)
-    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir, 1, 8)}, _chain(3, 8)).sequence)
-    other = _blocks(spark, sf_dir, 6, 10).withColumn("value", F.col("value") * 2)
-    return rounded(engine.ingest({"events": other}, [*_chain(3, 5), *_chain(6, 8, "x")]).tables["v"].selectExpr(*_NET), "total", "prev_total")
+    """The engine holds three quarters of the blocks; the second half of another chain comes in: the call rolls back by itself and
+    gives one net change per key."""
+    engine, last = _engine(spark), _last(spark, sf_dir)
+    held, half = last * 3 // 4, last // 2
+    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir, 1, held)}, _chain(half - 2, held)).sequence)
+    other = _blocks(spark, sf_dir, half + 1).withColumn("value", F.col("value") * 2)
+    return rounded(engine.ingest({"events": other}, [*_chain(half - 2, half), *_chain(half + 1, held, "x")]).tables["v"].selectExpr(*_NET), "total", "prev_total")
 
 
 @query("engine_recovery", f"{SQL_EVENTS} SELECT event_type, round(sum(value), 4) AS total, count(*) AS n FROM e GROUP BY 1")
 def engine_recovery(spark, sf_dir):
     """A batch is lost before its acknowledgement; the engine is opened anew, knows only what was acknowledged, and goes on."""
-    engine = _engine(spark)
-    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir, 1, 4)}, _chain(1, 4), finalized_head=Cursor(3, "h3")).sequence)
-    engine.ingest({"events": _blocks(spark, sf_dir, 5)})
+    engine, half = _engine(spark), _last(spark, sf_dir) // 2
+    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir, 1, half)}, _chain(half - 2, half), finalized_head=Cursor(half - 1, f"h{half - 1}")).sequence)
+    engine.ingest({"events": _blocks(spark, sf_dir, half + 1)})
     again = Engine.open(spark, _ENGINE, engine.store.home)
-    batch = again.ingest({"events": _blocks(spark, sf_dir, again.latest_block + 1)}, finalized_head=Cursor(4, "h4"))
+    batch = again.ingest({"events": _blocks(spark, sf_dir, again.latest_block + 1)}, finalized_head=Cursor(half, f"h{half}"))
     again.ack(batch.sequence)
     again.ack(batch.sequence)
     return rounded(Engine.open(spark, _ENGINE, engine.store.home).view("v"), "total")
 
 
-@query("engine_net_of_delete_and_insert", f"""{SQL_EVENTS}, x AS (SELECT round(sum(value), 4) AS total, count(*) AS n FROM e WHERE b <= 8 AND event_type = 'view')
+@query("engine_net_of_delete_and_insert", f"""{SQL_EVENTS}, x AS (SELECT round(sum(value), 4) AS total, count(*) AS n FROM e WHERE event_type = 'view')
        SELECT 'delete' AS op, 'view' AS event_type, total, n, total AS prev_total, n AS prev_n FROM x UNION ALL SELECT 'insert', 'seen', total, n, NULL, NULL FROM x""")
 def engine_net_of_delete_and_insert(spark, sf_dir):
     """All blocks are replaced by ones in which one key has another name: a delete and an insert of a key make an update or
     nothing, keys that only one chain has make a delete and an insert."""
-    engine = _engine(spark)
-    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir, 1, 8)}, _chain(1, 8)).sequence)
-    other = _blocks(spark, sf_dir, 1, 8).withColumn("event_type", F.when(F.col("event_type") == "view", "seen").otherwise(F.col("event_type")))
-    net = engine.ingest({"events": other}, _chain(1, 8, "x")).tables["v"]
+    engine, last = _engine(spark), _last(spark, sf_dir)
+    engine.ack(engine.ingest({"events": _blocks(spark, sf_dir)}, _chain(1, last)).sequence)
+    other = _blocks(spark, sf_dir).withColumn("event_type", F.when(F.col("event_type") == "view", "seen").otherwise(F.col("event_type")))
+    net = engine.ingest({"events": other}, _chain(1, last, "x")).tables["v"]
     return rounded(net.where("_op <> 'update' or round(total, 4) <> round(_prev_total, 4) or n <> _prev_n").selectExpr(*_NET), "total", "prev_total")
 
 
-@query("sink_repeated_delivery", f"{SQL_EVENTS} SELECT event_type, round(sum(value), 4) AS total, count(*) AS n FROM e WHERE b <= 5 GROUP BY 1")
+@query("sink_repeated_delivery", f"{SQL_EVENTS} SELECT event_type, round(sum(value), 4) AS total, count(*) AS n FROM e WHERE b <= {_SQL_LAST} * 3 // 4 GROUP BY 1")
 def sink_repeated_delivery(spark, sf_dir):
     """Every batch, that of a fork too, is delivered twice; the table of the sink is that of the view."""
     engine, sink = _engine(spark), SnapshotTable(spark, shared_folder(spark, "sink"), "v", ["event_type"], ["total", "n"])
-    for first, last in ((1, 4), (5, 8)):
-        batch = engine.ingest({"events": _blocks(spark, sf_dir, first, last)}, _chain(first, last))
+    last = _last(spark, sf_dir)
+    for first, end in ((1, last // 2), (last // 2 + 1, last)):
+        batch = engine.ingest({"events": _blocks(spark, sf_dir, first, end)}, _chain(first, end))
         for _ in range(2):
             sink.apply(batch)
         engine.ack(batch.sequence)
-    _, batch = engine.handle_fork(_chain(3, 5))
+    _, batch = engine.handle_fork(_chain(last * 3 // 4 - 2, last * 3 // 4))
     for _ in range(2):
         sink.apply(batch)
     engine.ack(batch.sequence)
