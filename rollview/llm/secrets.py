@@ -98,9 +98,15 @@ BESIDE = (-2, -1, 1, 2)
 
 def traits(w: str) -> tuple:
     """All that a word's own features say of it; few words differ in it."""
-    kinds, n = classes(w), len(w)
-    digits, upper = kinds.count("9"), kinds.count("A")
-    return _RUN.sub(r"\1", kinds)[:8], min(n // 4, 12), bool(digits), bool(upper), kinds.count("a") > 0, min(len(set(w)) // 3, 8), n >= 16, 4 * digits // n, n >= 12, _HEX_WORD(w) is not None
+    n, digits = len(w), 0
+    if w.isalpha() and w.islower():  # most words
+        form, upper, lower = "a", False, True
+    elif w.isalpha() and w[0].isupper() and w[1:].islower():
+        form, upper, lower = "Aa", True, True
+    else:
+        kinds = classes(w)
+        form, digits, upper, lower = _RUN.sub(r"\1", kinds)[:8], kinds.count("9"), "A" in kinds, "a" in kinds
+    return form, min(n // 4, 12), digits > 0, upper, lower, min(len(set(w)) // 3, 8), n >= 16, 4 * digits // n, n >= 12, n >= 16 and _HEX_WORD(w) is not None
 
 
 def own_features(w: str) -> list[str]:
