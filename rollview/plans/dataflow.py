@@ -71,7 +71,10 @@ class Dataflow:
         return self.views[view].whole(self._upto(view, upto), self.spans(view, upto))
 
     def changelog(self, view: str, upto: int | None = None) -> DataFrame:
-        return self.views[view].changelog(self.partials(view, upto), self.spans(view, upto))
+        spans = self.spans(view, upto)
+        if spans is not None:  # a row per block, read three times; may spill to disk
+            spans = spans.persist()
+        return self.views[view].changelog(self.partials(view, upto), spans)
 
 
 def plans_of(schema: Schema, code: dict[str, tuple[Process, tuple[Named, ...]]]) -> tuple[dict[str, ReducerPlan], dict[str, ViewPlan]]:
