@@ -13,7 +13,8 @@ hashes and decided on the bytes:
 3. In a bucket all strings of 50 bytes are grouped by hash, the bytes of each group are compared, and each group's smallest
    document keeps it.
 
-No task sees more than a bucket of distinct segments, and nothing is sent for text that is nobody else's. The named method,
+No task sees more than a bucket of distinct segments, and nothing is sent for text that is nobody else's. Buckets grow in
+number with the table, so a block sends each of them less: rows are packed so that small packs take little more a row. The named method,
 streaming matching statistics over a run-length index, is in :mod:`.rlbwt`; the README says why it does not run here.
 
 Defined results: a null text is empty; texts shorter than 50 bytes lose nothing; a document is an id, so strings that only
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -92,22 +95,38 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes * _M[4] >> np.uint64(48)).astype(np.int64) * buckets >> 16
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, compressed."""
+@cache
+def _zstd():
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, each compressed on its own: long ones as differences of neighbours, all as planes of bytes without
+    the upper ones that hold nothing. So a pack takes little more for each row if it holds few of them."""
+    out, n = [], len(arrays[0])
+    for a in arrays:
+        if a.dtype == np.int64:
+            a = np.diff(a, prepend=np.int64(0))  # may wrap; so does the sum
+            a = (a << 1) ^ (a >> 63)
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(n, a.dtype.itemsize).T
+        width = int(np.max(np.flatnonzero(planes.any(axis=1)), initial=-1)) + 1
+        data = _zstd()[0].compress(planes[:width].tobytes()) if width else b""
+        out += [struct.pack("<BI", width, len(data)), data]
+    return struct.pack("<I", n) + b"".join(out)
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, out, at = struct.unpack_from("<I", data)[0], [], 4
     for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(np.frombuffer(raw, k, n, at))
-        at += size
+        (width, size), kind = struct.unpack_from("<BI", data, at), np.dtype(k)
+        planes = np.zeros((n, kind.itemsize), dtype=np.uint8)
+        if width:
+            planes[:, :width] = np.frombuffer(_zstd()[1].decompress(data[at + 5 : at + 5 + size]), np.uint8).reshape(width, n).T
+        a = planes.view(kind)[:, 0]
+        out.append(np.cumsum((a >> 1 & np.int64((1 << 63) - 1)) ^ -(a & 1)) if kind == np.int64 else a)
+        at += 5 + size
     return out
 
 
@@ -120,28 +139,61 @@ def _low(h: np.ndarray) -> np.ndarray:
 def _scatter(parts: int, doc: np.ndarray, version: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
     """(part, data): rows packed by a part that depends on the document."""
     part = (doc.astype(np.uint64) * _M[0] >> np.uint64(48)).astype(np.int64) * parts >> 16
-    by = np.argsort(part, kind="stable")
+    by = np.lexsort((columns[0], version, doc, part))
     cuts = np.searchsorted(part[by], np.arange(parts + 1))
     rows = [(p, _pack(doc[m], version[m], *(c[m] for c in columns))) for p in range(parts) if len(m := by[cuts[p] : cuts[p + 1]])]
     return pd.DataFrame(rows, columns=["part", "data"])
 
 
-def _gather(scattered: DataFrame, **kinds: str) -> DataFrame:
-    """One row per document and version, each of ``kinds`` as packed bytes."""
+def _gather(scattered: DataFrame, settle: Callable[..., tuple[np.ndarray, ...]], **kinds: str) -> DataFrame:
+    """One row per document and version, each of ``kinds`` as bytes. ``settle`` gets numbers of rows and the arrays, in order of
+    row and first array, and returns those that stay."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         unpacked = [_unpack(x, "<i8", "<i8", *kinds.values()) for x in frame["data"]]
         doc, version, *columns = (np.concatenate(c) for c in zip(*unpacked, strict=True))
-        order = np.lexsort((version, doc))
+        order = np.lexsort((columns[0], version, doc))
         doc, version, columns = doc[order], version[order], [c[order] for c in columns]
-        edges = np.flatnonzero((doc[1:] != doc[:-1]) | (version[1:] != version[:-1])) + 1
-        rows = [(int(doc[a]), int(version[a]), *(c[a:b].tobytes() for c in columns)) for a, b in zip([0, *edges], [*edges, len(doc)], strict=True)]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+        row, *columns = settle(np.cumsum(new) - 1, *columns)
+        cuts = [*np.flatnonzero(np.diff(row, prepend=-1)), len(row)]
+        rows = [(d, v, *(c[a:b].tobytes() for c in columns)) for d, v, a, b in zip(doc[new].tolist(), version[new].tolist(), cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame(rows, columns=["doc", "version", *kinds])
 
     return scattered.groupBy("part").applyInPandas(run, "doc long, version long, " + ", ".join(f"{k} binary" for k in kinds))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _steps(row: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each place of a row once, as the step from the place before it."""
+    first = np.diff(row, prepend=-1) > 0
+    steps = np.where(first, places, np.diff(places, prepend=places[:1]))
+    keep = first | (steps > 0)
+    return row[keep], steps[keep]
+
+
+def _merged(row: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of a row that overlap or touch, as one."""
+    base = row << 40  # no text is so long
+    reach, new = np.maximum.accumulate(base + ends), np.ones(len(row), dtype=bool)
+    new[1:] = (base + begins)[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(row)) - 1
+    return row[new], begins[new], reach[last] - base[last]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, version, text). The version tells the texts of one id apart. It is a hash of the text for ids on several rows and
+    for those that share one of 32768 slots with such an id; the others have 0, as eight bytes that differ for each
+    document would travel with nearly every anchor and segment."""
+    doc, text = id_key(docs, id_col), F.coalesce(F.col(text_col), F.lit(""))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 15))
+    twice = docs.select(doc.alias("doc")).groupBy("doc").count().where("count > 1")
+    bits = np.frombuffer(twice.select(F.bitmap_construct_agg(slot(F.col("doc"))).alias("bits")).first()["bits"], "<i8")
+    repeated = F.getbit(F.element_at(F.lit(bits.tolist()).cast("array<bigint>"), F.floor(slot(doc) / 64).cast("int") + 1), F.pmod(slot(doc), F.lit(64)).cast("int")) == 1
+    return docs.select(doc.alias("doc"), (F.when(repeated, F.xxhash64(text)).otherwise(F.lit(0)) if bits.any() else F.lit(0).cast("long")).alias("version"), text.alias("text"))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
     """(doc, version, zipped): compressed, for texts are shuffled."""
 
     def zip_(batches):
@@ -152,17 +204,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for batch in slices(whole, 2):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc", "version", "zipped"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_key(docs, id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(zip_, "doc long, version long, zipped binary")
+    return rows.mapInArrow(zip_, "doc long, version long, zipped binary")
 
 
-def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
+def _anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, kind, data). Kind 0: anchors for the bucket, with flag 1 if the block knows them to be shared. Kind 1: places
     of anchors that the block knows to be shared."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, 2, limit=6_000_000):
+            for batch in slices(whole, 2, limit=24_000_000):
                 ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 found = []
                 for part in slices(batch, 2, limit=500_000):  # arrays that fit the processor's cache
@@ -195,16 +246,16 @@ def _anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col:
                         t = take[mine]
                         out.append((b, 0, _pack(_low(h[t]), doc[t], version[t], place[t], flags[mine])))
                 known = np.sort(order[local])
-                if len(known):
-                    out.append((int(h[0] % np.uint64(buckets)), 1, _pack(doc[known], version[known], place[known])))
+                for k in range(0, len(known), 100_000):
+                    some = known[k : k + 100_000]
+                    out.append((int((h[0] + np.uint64(k // 100_000)) % np.uint64(buckets)), 1, _pack(doc[some], version[some], place[some])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_key(docs, id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(run, "bucket int, kind int, data binary")
+    return rows.mapInArrow(run, "bucket int, kind int, data binary")
 
 
 def _shared(anchors: DataFrame, parts: int) -> DataFrame:
-    """(doc, version, places) of the anchors that more than one document has."""
+    """(doc, version, places) of the anchors that more than one document has; a place is the step from the one before it."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         own = [_unpack(x, "<u4", "<i8", "<i8", "<u4", "u1") for x in frame["data"][frame["kind"] == 0]]
@@ -228,7 +279,7 @@ def _shared(anchors: DataFrame, parts: int) -> DataFrame:
             return pd.DataFrame({"part": [], "data": []})
         return _scatter(parts, *(np.concatenate(c) for c in (docs, versions, places)))
 
-    return _gather(anchors.groupBy("bucket").applyInPandas(run, "part int, data binary"), places="<u4")
+    return _gather(anchors.groupBy("bucket").applyInPandas(run, "part int, data binary"), _steps, places="<u4")
 
 
 def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -240,33 +291,25 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
 
         unpack = zstandard.ZstdDecompressor().decompress
 
-        def blocks():
+        def groups():
             rows, size = [], 0
             for batch in batches:
                 for doc, version, zipped, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                     text = unpack(zipped)
-                    rows.append((doc, version, text, np.unique(np.frombuffer(places, "<u4").astype(np.int64))))
+                    rows.append((doc, version, text, np.cumsum(np.frombuffer(places, "<u4"), dtype=np.int64)))
                     size += len(text)
-                    if size > 4_000_000:
+                    if size > 500_000:
                         yield rows
                         rows, size = [], 0
             if rows:
                 yield rows
 
-        for rows in blocks():
+        def blocks():  # as many segments as memory allows, for buckets get few of each block
             sources: dict[bytes, list] = {}
-            part: list = []
-            groups, size = [], 0
-            for row in rows:
-                part.append(row)
-                size += len(row[2])
-                if size > 500_000:
-                    groups.append(part)
-                    part, size = [], 0
-            groups += [part] if part else []
-            for group in groups:
+            count = 0
+            for group in groups():
                 block = Block([r[2] for r in group], length)
-                wanted = np.concatenate([r[3] + s for r, s in zip(group, block.starts, strict=False)]) if group else np.zeros(0, np.int64)
+                wanted = np.concatenate([r[3] + s for r, s in zip(group, block.starts, strict=False)])
                 starts = np.flatnonzero(np.isin(block.owner, wanted))
                 if not len(starts):
                     continue
@@ -278,6 +321,14 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 for a, b, r, g in zip(begin.tolist(), end.tolist(), own.tolist(), bucket.tolist(), strict=True):
                     doc, version = group[r][:2]
                     sources.setdefault(block.blob[a : b + length], []).append((doc, version, a - int(block.starts[r]), g))
+                count += len(begin)
+                if count > 250_000:
+                    yield sources
+                    sources, count = {}, 0
+            if sources:
+                yield sources
+
+        for sources in blocks():
             gone: list[tuple[int, int, int, int]] = []
             sent: list[list] = [[] for _ in range(buckets)]
             for text, held in sources.items():
@@ -290,6 +341,7 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
             out = []
             for b, rows_ in enumerate(sent):
                 if rows_:
+                    rows_.sort(key=lambda r: r[:3])
                     head = struct.pack("<q", len(rows_)) + np.array([(d, v, a, len(t)) for d, v, a, t in rows_], dtype="<i8").tobytes()
                     out.append((b, 0, zstandard.ZstdCompressor(level=1).compress(head + b"".join(r[3] for r in rows_))))
             if gone:
@@ -384,19 +436,7 @@ def _gone(segments: DataFrame, length: int, parts: int) -> DataFrame:
             return pd.DataFrame({"part": [], "data": []})
         return _scatter(parts, *np.concatenate(stretches).astype("<i8").T)
 
-    return _gather(segments.groupBy("bucket").applyInPandas(run, "part int, data binary"), begins="<i8", ends="<i8")
-
-
-def merged(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches that overlap or touch, as one."""
-    out: list[tuple[int, int]] = []
-    order = np.argsort(begins, kind="stable")
-    for a, b in zip(begins[order].tolist(), ends[order].tolist(), strict=True):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    return _gather(segments.groupBy("bucket").applyInPandas(run, "part int, data binary"), _merged, begins="<i8", ends="<i8")
 
 
 def repeated_stretches(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,15 +445,16 @@ def repeated_stretches(docs: DataFrame, length: int = 50, id_col: str = "doc_id"
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     buckets = max(8, shuffle_partitions(docs.sparkSession))
-    shared = _shared(_anchors(docs, length, buckets, id_col, text_col), buckets)
+    rows = _rows(docs, id_col, text_col)
+    shared = _shared(_anchors(rows, length, buckets), buckets)
     # both joins read the texts from one shuffle: the same rows, dealt by the same columns
-    texts = _texts(docs, id_col, text_col).where("doc is not null and version is not null")
+    texts = _texts(rows).where("doc is not null and version is not null")
     marked = texts.join(shared, ["doc", "version"])
     return texts.join(_gone(_segments(marked, length, buckets), length, buckets), ["doc", "version"], "left")
 
 
 def _spans(begins: bytes | None, ends: bytes | None) -> list[tuple[int, int]]:
-    return merged(np.frombuffer(begins, "<i8"), np.frombuffer(ends, "<i8")) if begins else []
+    return list(zip(np.frombuffer(begins, "<i8").tolist(), np.frombuffer(ends, "<i8").tolist(), strict=True)) if begins else []
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -288,6 +288,51 @@ def test_substrings_of_one_hash_are_told_apart(monkeypatch, bits):
     assert {i: len(g) for i, g in gone.items()} == {i: n for i, (_, n, _, _) in want.items()}
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    random = np.random.default_rng(5)
+    letters = lambda n: "".join(random.choice(list("abcdeé \n"), n))
+    passages = [letters(90) for _ in range(6)]
+    rows = [(i % 40 if i < 120 else 1000 + i, letters(20) + passages[i % 6] + letters(int(random.integers(0, 60))) + passages[i * 5 % 6][:60]) for i in range(180)]
+    rows += [(None, passages[0] + letters(9)), (None, letters(9) + passages[1]), (3, rows[3][1]), (-(1 << 62), passages[2]), (1 << 62, passages[2])]
+    first, want = {}, []
+    order = lambda r: -(1 << 63) if r[0] is None else r[0]
+    for r in sorted(rows, key=order):
+        b, goes = r[1].encode(), set()
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k : k + 50], order(r)) < order(r):
+                goes.update(range(k, k + 50))
+        want.append((order(r), len(b), len(goes), sum(k - 1 not in goes for k in goes), bytes(c for k, c in enumerate(b) if k not in goes)))
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((order(r[:1]), *r[1:4], bytes(r.kept)) for r in found) == sorted(want)
+    alone = spark.createDataFrame([r for r in rows if r[0] and r[0] > 1000], "doc_id long, text string")
+    assert [r.version for r in substrings.repeated_stretches(alone).select("version").distinct().collect()] == [0]
+
+
+def test_substrings_move_no_more_in_many_buckets(spark):
+    random = np.random.default_rng(3)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of ", "or ", "nt ", "ea ", "ti", "to ", "it "]
+    texts = ["".join(random.choice(syllables, 1600)) for _ in range(400)]
+    rows = [(i, texts[i], 0) for i in range(400)] + [(400 + i, texts[2 * i][: 100 + 9 * i], 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(2).cache()
+    moved, real = {}, {}
+    for buckets in (8, 120):
+        with pytest.MonkeyPatch.context() as patch:
+            sizes = {}
+            for name in ("_anchors", "_segments"):
+
+                def measured(*a, name=name, of=getattr(substrings, name)):
+                    out = of(*a).cache()
+                    sizes[name] = out.selectExpr("sum(length(data))").first()[0]
+                    return out
+
+                patch.setattr(substrings, name, measured)
+            patch.setattr(substrings, "shuffle_partitions", lambda _, n=buckets: n)
+            real[buckets] = sorted((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(df).collect())
+        moved[buckets] = sizes
+    assert real[8] == real[120] and sum(r[1] for r in real[8]) > 100_000
+    assert all(moved[120][k] < 1.3 * moved[8][k] for k in moved[8]), moved
+
+
 def test_top_k_ties_and_odd_vectors(spark):
     random = np.random.default_rng(2)
     rows = [(i, [float(x) for x in random.normal(0, 1, 6)]) for i in range(240)]
