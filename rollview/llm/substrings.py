@@ -1,7 +1,9 @@
 """Exact removal of byte strings that documents with smaller ids hold too.
 
 A byte goes if some string of ``length`` bytes (50) over it also starts in a document with a smaller id. Work is found by
-hashes and decided on the bytes:
+hashes and decided on the bytes; only texts that equal another as a whole are told by their SHA-256. Those of ``length`` bytes
+or more go but for the smallest document's, which holds all their strings, so they send anchors and nothing after that. Of the
+others:
 
 1. Anchors. A run of 20 bytes is an anchor if its hash is the least among all runs of 20 bytes of some 50-byte string over
    it. The least run of a string depends on the string alone, so documents that share a string share an anchor. Tasks send
@@ -11,7 +13,8 @@ hashes and decided on the bytes:
    anchor are one segment of text, 50 to 80 bytes long. Equal segments of one block are settled there: all but the smallest
    document lose them. What is left goes, as bytes, to the bucket of its anchor.
 3. In a bucket all strings of 50 bytes are grouped by hash, the bytes of each group are compared, and each group's smallest
-   document keeps it.
+   document keeps it. A task compares about a million strings at once: those of some shelves, into which the anchors of a
+   bucket are divided, or of a part of one shelf's hashes.
 
 No task sees more than a bucket of distinct segments, and nothing is sent for text that is nobody else's. Buckets grow in
 number with the table, so a block sends each of them less: rows are packed so that small packs take little more a row. The named method,
@@ -38,19 +41,24 @@ from pyspark.sql import functions as F
 from .common import id_back, id_key, shuffle_partitions, slices, table
 
 GRAM = 20
+SHELVES = 32
+#: Strings that a task compares at once, and segments that it holds before it sends them. They bound memory, not results.
+STRINGS, SEGMENTS = 1_000_000, 250_000
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def _words(blob: bytes, at: int, n: int) -> np.ndarray:
+def _words(blob: bytes | bytearray, at: int, n: int) -> np.ndarray:
     """The 8 bytes from each position on, as numbers."""
     return np.ndarray((n,), "<u8", blob, offset=at, strides=(1,))
 
 
-def hash_runs(blob: bytes, n: int, length: int) -> np.ndarray:
-    """64-bit hashes of the ``length`` bytes from each of the first ``n`` positions on; ``blob`` goes on for 8 bytes more."""
-    out = np.zeros(n, dtype=np.uint64)
+def hash_runs(blob: bytes | bytearray, n: int, length: int, places: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """64-bit hashes of the ``length`` bytes from each of the first ``n`` positions on, or from ``places`` among them; ``blob``
+    goes on for 8 bytes more."""
+    out = np.zeros(n if isinstance(places, slice) else len(places), dtype=np.uint64)
     for k, at in enumerate([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]):
-        out = (out ^ _words(blob, at, n)) * _M[k % 3]
+        out ^= _words(blob, at, n)[places]
+        out *= _M[k % 3]
         out ^= out >> np.uint64(32)
     out *= _M[3]
     return out ^ (out >> np.uint64(29))
@@ -95,6 +103,11 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes * _M[4] >> np.uint64(48)).astype(np.int64) * buckets >> 16
 
 
+def _shelf(hashes: np.ndarray) -> np.ndarray:
+    """Shelves of anchors within their bucket, so that a task need not look at all strings of a bucket at once."""
+    return (hashes * _M[4] >> np.uint64(40)).astype(np.int64) & SHELVES - 1
+
+
 @cache
 def _zstd():
     import zstandard
@@ -282,6 +295,33 @@ def _shared(anchors: DataFrame, parts: int) -> DataFrame:
     return _gather(anchors.groupBy("bucket").applyInPandas(run, "part int, data binary"), _steps, places="<u4")
 
 
+def _least_holder(texts: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each segment, a row of ``texts`` that is zero beyond its ``size``, the smallest document that holds an equal one."""
+    words = texts.view("<u8")
+    key = size.astype(np.uint64)
+    for k in range(words.shape[1]):
+        key ^= words[:, k]
+        key *= _M[k % 3]
+        key ^= key >> np.uint64(32)
+    order = np.lexsort((doc, key))
+    begins = np.ones(len(order), dtype=bool)
+    begins[1:] = np.diff(key[order]) != 0
+    first = order[np.flatnonzero(begins)][np.cumsum(begins) - 1]  # of the group, in order
+    least = np.empty_like(doc)
+    least[order] = doc[first]
+    unlike = [size[order] != size[first]]
+    for k in range(words.shape[1]):
+        unlike.append(unlike.pop() | (words[order, k] != words[first, k]))
+    if unlike[0].any():  # different segments of one hash: their groups are settled by their bytes
+        for f in np.unique(first[unlike[0]]).tolist():
+            own, smallest = order[first == f], {}
+            held = [texts[i, : size[i]].tobytes() for i in own.tolist()]
+            for t, d in zip(held, doc[own].tolist(), strict=True):
+                smallest[t] = min(d, smallest.get(t, d))
+            least[own] = [smallest[t] for t in held]
+    return least
+
+
 def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, kind, data) from (doc, version, zipped, places). Kind 0: segments of shared anchors. Kind 1: stretches that go,
     as equal segments of the block show."""
@@ -305,8 +345,7 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield rows
 
         def blocks():  # as many segments as memory allows, for buckets get few of each block
-            sources: dict[bytes, list] = {}
-            count = 0
+            found, count = [], 0
             for group in groups():
                 block = Block([r[2] for r in group], length)
                 wanted = np.concatenate([r[3] + s for r, s in zip(group, block.starts, strict=False)])
@@ -317,43 +356,41 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 cut_at = np.flatnonzero((owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
                 begin, end = starts[np.concatenate([[0], cut_at])], starts[np.concatenate([cut_at - 1, [len(starts) - 1]])]
                 own = np.searchsorted(block.starts, begin, side="right") - 1
-                bucket = _bucket(block.hashes[block.owner[begin]], buckets)
-                for a, b, r, g in zip(begin.tolist(), end.tolist(), own.tolist(), bucket.tolist(), strict=True):
-                    doc, version = group[r][:2]
-                    sources.setdefault(block.blob[a : b + length], []).append((doc, version, a - int(block.starts[r]), g))
+                size, hashes = end - begin + length, block.hashes[block.owner[begin]]
+                texts = np.ndarray((len(block.blob) - width + 1, width), np.uint8, block.blob, strides=(1, 1))[begin]
+                texts[np.arange(width) >= size[:, None]] = 0
+                doc, version = (np.array([r[k] for r in group], dtype=np.int64)[own] for k in range(2))
+                found.append((doc, version, begin - block.starts[own], size, _bucket(hashes, buckets), _shelf(hashes), texts))
                 count += len(begin)
-                if count > 250_000:
-                    yield sources
-                    sources, count = {}, 0
-            if sources:
-                yield sources
-
-        for sources in blocks():
-            gone: list[tuple[int, int, int, int]] = []
-            sent: list[list] = [[] for _ in range(buckets)]
-            for text, held in sources.items():
-                least = min(h[0] for h in held)
-                for doc, version, at, g in held:
-                    if doc == least:
-                        sent[g].append((doc, version, at, text))
-                    else:
-                        gone.append((doc, version, at, at + len(text)))
-            out = []
-            for b, rows_ in enumerate(sent):
-                if rows_:
-                    rows_.sort(key=lambda r: r[:3])
-                    head = struct.pack("<q", len(rows_)) + np.array([(d, v, a, len(t)) for d, v, a, t in rows_], dtype="<i8").tobytes()
-                    out.append((b, 0, zstandard.ZstdCompressor(level=1).compress(head + b"".join(r[3] for r in rows_))))
-            if gone:
-                table_ = np.array(sorted(gone), dtype="<i8")
-                out.append((int(table_[0, 0] % buckets), 1, _pack(*table_.T)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
+                if count > SEGMENTS:
+                    yield [np.concatenate([f[k] for f in found]) for k in range(7)]
+                    found, count = [], 0
+            if found:
+                yield [np.concatenate([f[k] for f in found]) for k in range(7)]
+
+        width = -(-(2 * length - GRAM) // 8) * 8  # of the longest segment, in whole words
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for doc, version, at, size, bucket, shelf, texts in blocks():
+            least = _least_holder(texts, size, doc)
+            sent = np.flatnonzero(doc == least)
+            sent = sent[np.lexsort((at[sent], version[sent], doc[sent], bucket[sent]))]
+            out, cuts = [], np.searchsorted(bucket[sent], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = sent[cuts[b] : cuts[b + 1]]
+                head = np.column_stack([doc[mine], version[mine], at[mine], size[mine] | shelf[mine] << 32]).astype("<i8")
+                held = texts[mine][np.arange(width) < size[mine][:, None]]
+                out.append((b, 0, pack(struct.pack("<q", len(mine)) + head.tobytes() + held.tobytes())))
+            gone = np.flatnonzero(doc != least)
+            if len(gone):
+                gone = gone[np.lexsort((at[gone], version[gone], doc[gone]))]
+                out.append((int(doc[gone[0]] % buckets), 1, _pack(doc[gone], version[gone], at[gone], at[gone] + size[gone])))
+            del doc, version, at, size, bucket, shelf, texts, least, sent, gone
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
     return marked.select("doc", "version", "zipped", "places").mapInArrow(run, "bucket int, kind int, data binary")
 
 
-def _equal_strings(blob: bytes, at: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
+def _equal_strings(blob: bytes | bytearray, at: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
     """Whether the ``length`` bytes at ``at`` equal those at ``other``, byte by byte. ``blob`` goes on for 8 bytes more.
 
     Where a string and its other both lie one byte after those before them, 49 bytes are compared already, and only the last
@@ -379,59 +416,93 @@ def _equal_strings(blob: bytes, at: np.ndarray, other: np.ndarray, length: int)
     return out
 
 
+def _not_first(blob: bytearray, at: np.ndarray, h: np.ndarray, ranks: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string at each of ``at``, which ascend, is also that of a smaller rank. ``h``: their hashes."""
+    order = np.argsort(h)
+    begins = np.ones(len(h), dtype=bool)
+    begins[1:] = np.diff(h[order]) != 0
+    heads, sorted_ranks = np.flatnonzero(begins), ranks[order]
+    sizes = np.diff([*heads, len(h)])
+    goes, first = np.zeros(len(h), dtype=bool), np.empty(len(h), dtype=np.int64)
+    goes[order] = np.repeat(np.minimum.reduceat(sorted_ranks, heads), sizes) < sorted_ranks
+    first[order] = np.repeat(np.minimum.reduceat(at[order], heads), sizes)
+    unlike = np.flatnonzero(~_equal_strings(blob, at, first, length))
+    if len(unlike):  # different strings of one hash: their groups are settled by their bytes
+        group = np.cumsum(begins) - 1
+        for g in np.unique(group[np.isin(order, unlike)]).tolist():
+            own = order[heads[g] : heads[g] + sizes[g]]
+            texts, least = [bytes(blob[p : p + length]) for p in at[own].tolist()], {}
+            for t, r in zip(texts, ranks[own].tolist(), strict=True):
+                least[t] = min(r, least.get(t, r))
+            goes[own] = [least[t] < r for t, r in zip(texts, ranks[own].tolist(), strict=True)]
+    return goes
+
+
+def _shelves(shelf: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of shelves, from and to, that hold STRINGS strings together or are one shelf."""
+    out, held = [], 0
+    for k, n in enumerate(np.bincount(shelf, weights=counts, minlength=SHELVES).tolist()):
+        if out and held + n <= STRINGS:
+            out[-1], held = (out[-1][0], k + 1), held + n
+        else:
+            out.append((k, k + 1))
+            held = n
+    return out
+
+
 def _gone(segments: DataFrame, length: int, parts: int) -> DataFrame:
     """(doc, version, begins, ends) of the stretches that go."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         stretches = [np.column_stack(_unpack(x, "<i8", "<i8", "<i8", "<i8")) for x in frame["data"][frame["kind"] == 1]]
-        heads, hashes, rows, places, blobs, at_row, at_byte = [], [], [], [], [], 0, 0
+        heads, blob = [], bytearray()
         for x in frame["data"][frame["kind"] == 0]:
-            raw = zstandard.ZstdDecompressor().decompress(x)
+            raw = unpack(x)
             n = struct.unpack_from("<q", raw)[0]
-            head = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(n, 4)
-            starts = np.cumsum(head[:, 3]) - head[:, 3]
-            counts = head[:, 3] - length + 1  # strings of each segment
-            row = np.repeat(np.arange(n, dtype=np.uint32), counts)
-            inside = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint16)
-            blob = raw[8 + 32 * n :]
-            hashes.append(hash_runs(blob + b"\0" * (length + 8), len(blob), length)[starts[row] + inside])
-            heads.append(np.column_stack([head[:, :3], starts + at_byte]))
-            rows.append(row + np.uint32(at_row))
-            places.append(inside)
-            blobs.append(blob)
-            at_row, at_byte = at_row + n, at_byte + len(blob)
+            heads.append(np.frombuffer(raw, "<i8", 4 * n, 8).reshape(n, 4).copy())
+            blob += memoryview(raw)[8 + 32 * n :]
+            del raw
         if heads:
-            head, h, row, inside = (np.concatenate(x) for x in (heads, hashes, rows, places))
-            blob = b"".join(blobs) + b"\0" * 8
-            del heads, hashes, rows, places, blobs
-            rank = np.empty(len(head), dtype=np.uint32)  # of a segment's document
-            rank[:] = np.unique(head[:, 0], return_inverse=True)[1]
-            order = np.argsort(h)
-            begins = np.ones(len(h), dtype=bool)
-            begins[1:] = np.diff(h[order]) != 0
-            at, at_string = np.flatnonzero(begins), head[:, 3][row] + inside
-            sizes, ranks = np.diff([*at, len(h)]), rank[row[order]]
-            goes, first = np.zeros(len(h), dtype=bool), np.empty(len(h), dtype=np.int64)
-            goes[order] = np.repeat(np.minimum.reduceat(ranks, at), sizes) < ranks
-            first[order] = np.repeat(np.minimum.reduceat(at_string[order], at), sizes)
-            unlike = np.flatnonzero(~_equal_strings(blob, at_string, first, length))
-            if len(unlike):  # different strings of one hash: their groups are settled by their bytes
-                group = np.cumsum(begins) - 1
-                for g in np.unique(group[np.isin(order, unlike)]).tolist():
-                    own = order[at[g] : at[g] + sizes[g]]
-                    texts, least = [blob[p : p + length] for p in at_string[own].tolist()], {}
-                    for t, r in zip(texts, rank[row[own]].tolist(), strict=True):
-                        least[t] = min(r, least.get(t, r))
-                    goes[own] = [least[t] < r for t, r in zip(texts, rank[row[own]].tolist(), strict=True)]
-            hit = np.flatnonzero(goes)
-            del order, ranks, begins, h, first, at_string
-            if len(hit):
-                new = np.flatnonzero((row[hit][1:] != row[hit][:-1]) | (inside[hit][1:] != inside[hit][:-1] + 1)) + 1
-                a, b = hit[np.concatenate([[0], new])], hit[np.concatenate([new - 1, [len(hit) - 1]])]
-                r = row[a]
-                stretches.append(np.column_stack([head[r, 0], head[r, 1], head[r, 2] + inside[a], head[r, 2] + inside[b] + length]))
+            doc, version, place, size = np.concatenate(heads).T
+            del heads
+            blob += b"\0" * (length + 8)
+            shelf, size = (size >> 32).astype(np.uint8), size & 0xFFFFFFFF
+            starts, counts = np.cumsum(size) - size, size - length + 1  # counts: of the strings of each segment
+            n, rank = len(blob) - length - 8, np.unique(doc, return_inverse=True)[1].astype(np.uint32)
+            for low, high in _shelves(shelf, counts):
+                rows = np.flatnonzero((shelf >= low) & (shelf < high))
+                if not len(rows):
+                    continue
+                ends = np.cumsum(counts[rows])  # the strings of these rows are numbered
+                goes, turns = np.zeros(ends[-1], dtype=bool), -(-int(ends[-1]) // STRINGS)
+                for turn in range(turns):  # several where one shelf holds more: by hash, as equal strings have equal hashes
+                    parts_ = []
+                    for a, b in zip(cuts := np.searchsorted(ends, np.arange(turns) * STRINGS), [*cuts[1:], len(rows)], strict=True):
+                        own = rows[a:b]
+                        row = np.repeat(own.astype(np.uint32), counts[own])
+                        number = np.arange(ends[a - 1] if a else 0, ends[b - 1] if b else 0)
+                        at = number - np.repeat(ends[a:b] - counts[own] - starts[own], counts[own])
+                        h = hash_runs(blob, n, length, at)
+                        if turns > 1:
+                            mine = np.flatnonzero(h % np.uint64(turns) == turn)
+                            row, number, at, h = row[mine], number[mine], at[mine], h[mine]
+                        parts_.append((number, at, h, rank[row]))
+                    number, at, h, ranks = parts_[0] if turns == 1 else (np.concatenate([x[k] for x in parts_]) for k in range(4))
+                    del parts_
+                    if len(at):
+                        goes[number] = _not_first(blob, at, h, ranks, length)
+                    del row, number, at, h, ranks
+                hit = np.flatnonzero(goes)
+                if len(hit):
+                    row = np.searchsorted(ends, hit, side="right")
+                    new = np.flatnonzero((row[1:] != row[:-1]) | (hit[1:] != hit[:-1] + 1)) + 1
+                    a, b = hit[np.concatenate([[0], new])], hit[np.concatenate([new - 1, [len(hit) - 1]])]
+                    r = rows[row[np.concatenate([[0], new])]]
+                    inside = a - (ends - counts[rows])[row[np.concatenate([[0], new])]]
+                    stretches.append(np.column_stack([doc[r], version[r], place[r] + inside, place[r] + inside + (b - a) + length]))
         if not stretches:
             return pd.DataFrame({"part": [], "data": []})
         return _scatter(parts, *np.concatenate(stretches).astype("<i8").T)
@@ -439,6 +510,25 @@ def _gone(segments: DataFrame, length: int, parts: int) -> DataFrame:
     return _gather(segments.groupBy("bucket").applyInPandas(run, "part int, data binary"), _merged, begins="<i8", ends="<i8")
 
 
+def _copies(rows: DataFrame, length: int) -> DataFrame:
+    """(doc, version, size) of the texts that a smaller document has as a whole, by their SHA-256: all their bytes go."""
+    long = rows.withColumn("size", F.octet_length("text").cast("long")).where(F.col("size") >= length)
+    told = long.select("doc", "version", "size", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = told.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return told.join(first.select("digest", "first"), "digest").where("first < doc").select("doc", "version", "size").distinct()
+
+
+def _wholes(copies: DataFrame) -> DataFrame:
+    """(doc, version, begins, ends): one stretch for each of the copies, the whole text."""
+
+    def run(batches):
+        for batch in batches:
+            ends = [n.to_bytes(8, "little") for n in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bytes(8)] * len(ends), pa.binary()), pa.array(ends, pa.binary())], names=["doc", "version", "begins", "ends"])
+
+    return copies.mapInArrow(run, "doc long, version long, begins binary, ends binary")
+
+
 def repeated_stretches(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, zipped, begins, ends): every row with the stretches of bytes that go, as packed arrays, null
     where none go."""
@@ -449,8 +539,10 @@ def repeated_stretches(docs: DataFrame, length: int = 50, id_col: str = "doc_id"
     shared = _shared(_anchors(rows, length, buckets), buckets)
     # both joins read the texts from one shuffle: the same rows, dealt by the same columns
     texts = _texts(rows).where("doc is not null and version is not null")
-    marked = texts.join(shared, ["doc", "version"])
-    return texts.join(_gone(_segments(marked, length, buckets), length, buckets), ["doc", "version"], "left")
+    copies = _copies(rows, length)
+    marked = texts.join(shared.join(copies, ["doc", "version"], "left_anti"), ["doc", "version"])
+    gone = _gone(_segments(marked, length, buckets), length, buckets).union(_wholes(copies))
+    return texts.join(gone, ["doc", "version"], "left")
 
 
 def _spans(begins: bytes | None, ends: bytes | None) -> list[tuple[int, int]]:

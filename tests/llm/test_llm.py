@@ -333,6 +333,67 @@ def test_substrings_move_no_more_in_many_buckets(spark):
     assert all(moved[120][k] < 1.3 * moved[8][k] for k in moved[8]), moved
 
 
+def test_substrings_of_a_large_bucket_are_compared_in_parts(monkeypatch):
+    import struct
+    import tracemalloc
+
+    import pandas as pd
+    import zstandard
+
+    random, n, held = np.random.default_rng(4), 20_000, []
+    texts = random.integers(97, 123, (n, 80)).astype(np.uint8)
+    texts = np.concatenate([texts, texts, texts])  # the segments of ids below n come again, twice
+    head = np.column_stack([np.arange(3 * n), np.zeros(3 * n), np.full(3 * n, 7), np.full(3 * n, 80)]).astype("<i8")
+    data = zstandard.ZstdCompressor().compress(struct.pack("<q", 3 * n) + head.tobytes() + texts.tobytes())
+
+    class Segments:  # runs the function of a bucket here
+        groupBy = lambda self, *_: self
+        applyInPandas = lambda self, run, *_: run(pd.DataFrame({"bucket": [0], "kind": [0], "data": [data]}))
+
+    monkeypatch.setattr(substrings, "_scatter", lambda parts, *columns: held.append(np.column_stack(columns)))
+    monkeypatch.setattr(substrings, "_gather", lambda *_, **__: None)
+    monkeypatch.setattr(substrings, "STRINGS", 100_000, raising=False)
+    tracemalloc.start()
+    substrings._gone(Segments(), 50, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(map(tuple, held[0].tolist())) == [(i, 0, 7, 87) for i in range(n, 3 * n)]
+    assert most < 25 * 31 * 3 * n, most  # bytes; 31 strings a segment
+
+
+@pytest.mark.parametrize("factor", [None, 0])
+def test_segments_of_one_hash_are_told_apart(monkeypatch, factor):
+    random = np.random.default_rng(8)
+    texts, size = random.integers(97, 99, (400, 80)).astype(np.uint8), random.integers(50, 53, 400)
+    texts[:, 3:] = 97
+    texts[np.arange(80) >= size[:, None]] = 0
+    doc, least = random.integers(0, 1000, 400), {}
+    if factor is not None:
+        monkeypatch.setattr(substrings, "_M", (np.uint64(factor),) * 5)
+    rows = [t[:k].tobytes() for t, k in zip(texts, size.tolist(), strict=True)]
+    for t, d in zip(rows, doc.tolist(), strict=True):
+        least[t] = min(d, least.get(t, d))
+    assert substrings._least_holder(texts, size, doc).tolist() == [least[t] for t in rows]
+
+
+def test_substrings_of_whole_copies_are_not_sent_again(spark, monkeypatch):
+    random, sent = np.random.default_rng(6), []
+    texts = ["".join(random.choice(list("abcdeé \n"), 900)) for _ in range(40)] + ["b" * 50, "b" * 49, "é" * 24, ""]
+
+    def measured(*a, of=substrings._segments):
+        out = of(*a).cache()
+        sent.append(out.selectExpr("sum(length(data))").first()[0])
+        return out
+
+    monkeypatch.setattr(substrings, "_segments", measured)
+    for copies in (2, 6):  # each set of copies in a task of its own
+        table = {len(texts) * k + i: t for k in range(copies) for i, t in enumerate(texts)}
+        df = spark.createDataFrame(list(table.items()), "doc_id long, text string").repartitionByRange(copies, "doc_id")
+        want = brute_substrings(table, 50)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(df).collect()} == want
+    assert sent[1] < 1.5 * sent[0], sent
+
+
 def test_top_k_ties_and_odd_vectors(spark):
     random = np.random.default_rng(2)
     rows = [(i, [float(x) for x in random.normal(0, 1, 6)]) for i in range(240)]
